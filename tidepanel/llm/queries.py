@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, html_text, language, media, mixing, neighbours, toxicity
+from tidepanel.llm import bpe, html_text, language, media, mixing, neighbours, quality, toxicity
 from tidepanel.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,10 +24,10 @@ def query(f):
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    done = bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids=False)
     return done.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
+        (F.octet_length("packed") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
@@ -74,3 +74,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    done = quality.classify(docs, quality.fit(docs, labels))
+    return done.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("keep"))
