@@ -1,6 +1,10 @@
-"""Byte-level BPE encoding and decoding with Spark higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-Ranked merges are folded over the bytes of a word by ``aggregate``; the ranks
+``encode_documents`` folds ranked merges over the bytes of distinct words in
+Arrow batches; ``encode_documents_native`` does the same in Spark's
+higher-order functions and costs several times as much (see the README).
+
+In the native form ranked merges are folded over the bytes of a word by ``aggregate``; the ranks
 are a literal map, laid out as an array that a collision-free hash of the two
 token ids addresses, because looking up a Spark map is a linear scan.  Words
 that are frequent in a bounded sample are folded once, as distinct words, and
@@ -12,12 +16,18 @@ Decoding maps ids to byte pieces and concatenates these.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: No merge: greater than every rank.
 NONE = 1 << 30
@@ -222,17 +232,142 @@ class ByteBpe:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(words, i)), ""))
 
 
-def encode_documents(
-    docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids",
+def encode_documents_native(
+    docs: DataFrame, path: str, pattern: str, *, text: str = "text",
     map_words: int = 131072, sample_docs: int = 8192,
 ) -> DataFrame:
-    """``docs`` plus ``ids`` (array<int>) and ``decoded`` (binary, decoded from the ids).
+    """As ``encode_documents``, in higher-order functions alone; an unbroken word of n bytes takes n steps of O(n)."""
+    bpe = ByteBpe(path, pattern)
+    held = bpe.word_map(docs, text, map_words, sample_docs)
+    out = docs.withColumn("ids", bpe.encode(F.coalesce(F.col(text), F.lit("")), held, map_words * 2))
+    return out.withColumn("packed", bpe.packed(F.col("ids"))).withColumn("decoded", bpe.decode(F.col("ids")))
+
+
+#: Where a cut before a single space might change the words: next to other white space.
+UNSAFE = re.compile(r" \s|\s ")
+#: Distinct words whose ids a worker keeps; when full it starts anew.
+KEPT = 600_000
+
+
+class WordFolder:
+    """Encodes texts by their distinct words: each is folded once by rank and kept, bounded in number."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        white = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+        self.split = regex.compile(white).findall
+        self.ranks = ranks
+        self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.pieces[rank] = token
+        self.words: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def fold(self, word: bytes) -> list[int]:
+        """Merges the adjacent pair of least rank, leftmost first, until no pair has a rank."""
+        ranks = self.ranks
+        if (whole := ranks.get(word)) is not None:
+            return [whole]
+        parts = [word[i : i + 1] for i in range(len(word))]
+        if len(parts) > 64:
+            return self._fold_long(parts)
+        found = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while found and (least := min(found)) < NONE:
+            i = found.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+            if i < len(found):
+                found[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+        return [ranks[p] for p in parts]
+
+    def _fold_long(self, parts: list[bytes]) -> list[int]:
+        """The same order of merges with a heap over a linked list, for unbroken runs of any length."""
+        ranks, n = self.ranks, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        alive = [True] * n
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if not alive[i] or j >= n or parts[i] != a or parts[j] != b:
+                continue
+            parts[i], alive[j], after[i] = a + b, False, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := ranks.get(parts[i] + parts[after[i]])) is not None:
+                    heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
+            k = before[i]
+            if k >= 0 and (r := ranks.get(parts[k] + parts[i])) is not None:
+                heapq.heappush(heap, (r, k, parts[k], parts[i]))
+        return [ranks[p] for p, live in zip(parts, alive, strict=True) if live]
+
+    def _packed_word(self, word: str) -> bytes:
+        kept = self.words.get(word)
+        if kept is None:
+            ids = self.fold(word.encode())
+            kept = b"".join([i.to_bytes(4, "little") for i in ids])
+            if len(word) < 64:
+                if len(self.words) > KEPT:
+                    self.words.clear()
+                self.words[word] = kept
+        return kept
+
+    def packed(self, text: str) -> bytes:
+        """ids of a text as little-endian unsigned 32-bit integers."""
+        if UNSAFE.search(text):
+            return b"".join(map(self._packed_word, self.split(text)))
+        # a single space between other characters always begins a word
+        first, *rest = text.split(" ")
+        spaced = self.spaced
+        if len(spaced) > KEPT:
+            spaced.clear()
+        for part in set(rest).difference(spaced):
+            spaced[part] = b"".join(map(self._packed_word, self.split(" " + part)))
+        out = b"".join([*map(self._packed_word, self.split(first)), *map(spaced.__getitem__, rest)])
+        if rest and max(map(len, rest)) > 256:
+            for part in [x for x in spaced if len(x) > 256]:
+                del spaced[part]
+        return out
+
+    def decode(self, packed: bytes) -> bytes:
+        """The byte pieces of the ids, concatenated."""
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+
+
+_folders: dict[tuple[str, str], WordFolder] = {}
+
+
+def _folder(path: str, pattern: str, ranks: dict[bytes, int]) -> WordFolder:
+    """The folder of this worker, whose kept words outlast a task."""
+    if (path, pattern) not in _folders:
+        _folders[path, pattern] = WordFolder(ranks, pattern)
+    return _folders[path, pattern]
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: bool = True) -> DataFrame:
+    """``docs`` plus packed (binary), decoded (binary, decoded from the ids) and, if asked for, ids (array<int>).
 
     NULL texts are empty and give no ids and no bytes; all other columns pass
-    through.  Repeated rows give repeated results; an empty table gives none.
-    A single unbroken word of n bytes takes n merge steps of O(n) each.
+    through, but for columns of these names, which are replaced.  Repeated rows
+    give repeated results; an empty table gives none.
     """
-    bpe = ByteBpe(path, pattern)
-    held = bpe.word_map(docs, text, map_words, sample_docs)
-    out = docs.withColumn(ids, bpe.encode(F.coalesce(F.col(text), F.lit("")), held, map_words * 2))
-    return out.withColumn("decoded", bpe.decode(F.col(ids))).withColumn("packed", bpe.packed(F.col(ids)))
+    ranks = load_ranks(path)
+    names = ["packed", "decoded", *(["ids"] if ids else [])]
+    docs = docs.drop(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = _folder(path, pattern, ranks)
+        for batch in batches:
+            texts = batch.column(text)
+            packed = [folder.packed(x.as_py() or "") if x.is_valid else b"" for x in texts]
+            columns = [pa.array(packed, pa.binary()), pa.array(map(folder.decode, packed), pa.binary())]
+            if ids:
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+
+    extra = StructType.fromDDL("packed binary, decoded binary" + (", ids array<int>" if ids else ""))
+    return docs.mapInArrow(run, StructType(docs.schema.fields + extra.fields))
