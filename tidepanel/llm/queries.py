@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, html_text, language, media, mixing, neighbours, quality, toxicity
+from tidepanel.llm import bpe, html_text, jaccard, language, media, mixing, neighbours, quality, toxicity
 from tidepanel.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     done = quality.classify(docs, quality.fit(docs, labels))
     return done.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).cast("int").alias("keep"))
+
+
+@query
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
