@@ -144,14 +144,14 @@ def linked(members: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _mapped(docs: DataFrame, schema: str, row) -> DataFrame:
-    """``row(doc_id, text)`` gives the rows of a document."""
+    """``row(*columns)`` gives the rows of a document."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for d, t in zip(batch.column(0), batch.column(1), strict=True) for r in row(d.as_py(), t.as_py())]
+            rows = [r for x in zip(*batch.columns, strict=True) for r in row(*(v.as_py() for v in x))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     return docs.mapInArrow(run, schema)
@@ -162,7 +162,7 @@ def _heavy_tokens(docs: DataFrame, sample: int, least: int, most: int) -> np.nda
     total = docs.count()
     share = max(1, total // sample)
     picked = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(share)) == 0)
-    tokens = _mapped(picked, "t array<bigint>", lambda d, t: [(shingles(t).view(np.int64),)])
+    tokens = _mapped(picked, "t array<bigint>", lambda d, t, k: [(shingles(t).view(np.int64),)])
     counted = tokens.select(F.explode("t").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     top = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()["h"].to_numpy()
     return np.sort(top.astype(np.int64)).view(np.uint64)
@@ -172,7 +172,7 @@ def jaccard_components(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sample: int = 8192, heavy_least: int = 8, heavy_most: int = 50_000, block: int = BLOCK,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, class_id, row_key) for every row of ``docs``.
 
     Two documents link when 100 * intersection >= 80 * union of their distinct
     5-word shingles (fewer words: the whole sequence); component_id is the
@@ -180,17 +180,19 @@ def jaccard_components(
     with nothing and are components of their own.  Repeated rows and ids stay
     rows of their own; rows without an id get the component they link to
     (NULL if nobody there has an id).  Sets are compared by 64-bit hashes.
+    ``class_id`` names equal sets, ``row_key`` is xxhash64(doc_id, text).
     """
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    key = F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key")
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), key)
 
-    def signature(d, t):
+    def signature(d, t, k):
         s = shingles(t)
-        return [(d, len(s), class_of(s) if len(s) else None)]
+        return [(d, len(s), class_of(s) if len(s) else None, k)]
 
-    rows = stored(_mapped(own, "doc_id bigint, n_shingles bigint, cid bigint", signature), "jaccard-rows")
+    rows = stored(_mapped(own, "doc_id bigint, n_shingles bigint, cid bigint, row_key bigint", signature), "jaccard-rows")
     heavy = _heavy_tokens(own, sample, heavy_least, heavy_most)
 
-    def starts(d, t):
+    def starts(d, t, k):
         s = shingles(t)
         if not len(s):
             return []
@@ -208,7 +210,7 @@ def jaccard_components(
     ids = wanted.select("doc_id").where("doc_id is not null").distinct()
     texts = own.join(F.broadcast(ids) if n_wanted <= BROADCAST_IDS else ids, "doc_id", "left_semi").unionByName(own.where("doc_id is null"))
 
-    def held(d, t):
+    def held(d, t, k):
         s = shingles(t)
         return [(class_of(s), len(s), s.tobytes(), bitmap(s).tobytes())] if len(s) else []
 
@@ -277,5 +279,27 @@ def jaccard_components(
     out = classed.join(lowest, "part", "left")
     return out.select(
         "doc_id", "n_shingles", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("cid").alias("class_id"),
+        F.col("cid").alias("class_id"), "row_key",
     )
+
+
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that of the least id, NULL ids last.
+
+    Texts without shingles all stay.  Of repeated rows one stays.
+    """
+    found = stored(jaccard_components(docs, doc_id=doc_id, text=text), "jaccard-found")
+    group = F.coalesce(F.col("component_id"), F.col("class_id"))
+    some = found.where("n_shingles > 0")
+    best = some.groupBy(group.alias("g"), F.col("component_id").isNull().alias("unnamed")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key"))["row_key"].alias("kept")
+    )
+    gone = some.select("row_key", group.alias("g"), F.col("component_id").isNull().alias("unnamed")).join(best, ["g", "unnamed"])
+    gone = gone.where("row_key <> kept").select(F.col("row_key").alias("_rk")).distinct()
+    keyed = docs.withColumn("_rk", F.xxhash64(F.col(doc_id), F.col(text)))
+    out = keyed.join(gone, "_rk", "left_anti")
+    again = some.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row_key").alias("_rk"))
+    if not again.isEmpty():
+        once = out.join(again, "_rk", "left_semi").dropDuplicates(["_rk"])
+        out = out.join(again, "_rk", "left_anti").unionByName(once)
+    return out.select(*docs.columns)
