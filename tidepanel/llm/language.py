@@ -8,13 +8,12 @@ needs several words against its surroundings.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +30,8 @@ SCRIPTS = [
 # ---
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
-#: Words whose scores a worker keeps; when full it starts anew.
-KEPT = 400_000
+#: Documents whose distinct words are scored together.
+TOGETHER = 2000
 
 
 def script_of(letter: str) -> str:
@@ -40,12 +39,31 @@ def script_of(letter: str) -> str:
     return next((name for name, low, high in SCRIPTS if low <= point <= high), "other")
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the character 1-, 2-, 3- and 4-grams of a word with its ends marked, and of the word."""
-    w = f"<{word}>"
-    parts = [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    parts.append(w)
-    return [xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts]
+def gram_sums(words: list[str], table: np.ndarray | None = None, counts: np.ndarray | None = None, weights: np.ndarray | None = None) -> np.ndarray | None:
+    """Over the character 1- to 4-grams of each word with its ends marked: the mean rows of ``table``.
+
+    With ``counts`` (buckets) and ``weights`` (words) the grams are counted instead.
+    """
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), lengths)
+    out = np.zeros((len(words), table.shape[1])) if table is not None else None
+    total = np.zeros(len(words))
+    h = np.zeros(len(points), dtype=np.uint64)
+    for n in range(1, 5):
+        if len(points) < n:
+            break
+        h = h[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :] + np.uint64(n)
+        own = word[: len(h)] == word[n - 1 :]
+        mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        places, of = (mixed[own] >> np.uint64(47)).astype(np.int64) % BUCKETS, word[: len(h)][own]
+        if counts is not None:
+            counts += np.bincount(places, weights=weights[of], minlength=BUCKETS)
+        else:
+            for k in range(table.shape[1]):
+                out[:, k] += np.bincount(of, weights=table[places, k], minlength=len(words))
+            total += np.bincount(of, minlength=len(words))
+    return out / np.maximum(total, 1)[:, None] if out is not None else None
 
 
 @dataclass
@@ -56,51 +74,35 @@ class LanguageModel:
     table: np.ndarray
     scripts: dict[str, np.ndarray]
     penalty: float = 6.0
-    _places: dict[str, int] = field(default_factory=dict, repr=False)
-    _rows: list[np.ndarray] = field(default_factory=list, repr=False)
-
-    def word_scores(self, token: str) -> tuple[np.ndarray, int]:
-        """(scores, number of letters) of a white-space token; zero scores without letters."""
-        parts = LETTERS.findall(token.lower())
-        out = np.zeros(len(self.languages))
-        for part in parts[:8]:
-            out += self.table[grams(part[:64])].mean(axis=0) * min(len(part), 12) / 2
-        if parts and (kept := self.scripts.get(script_of(parts[0][0]))) is not None and kept.any():
-            out[~kept] -= 50.0
-        return out, sum(map(len, parts))
+
+    def word_scores(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, number of letters) of white-space tokens; zero scores without letters."""
+        parts = [LETTERS.findall(t.lower()) for t in tokens]
+        letters = np.array([sum(map(len, p)) for p in parts], dtype=np.int64)
+        out = np.zeros((len(tokens), len(self.languages)))
+        some = np.flatnonzero(letters)
+        if len(some):
+            words = [" ".join(parts[i]) for i in some.tolist()]
+            out[some] = gram_sums(words, self.table) * (np.minimum(letters[some], 12) / 2)[:, None]
+            barred = {s: ~k for s, k in self.scripts.items() if k.any() and not k.all()}
+            if barred:
+                for i, w in zip(some.tolist(), words, strict=True):
+                    if (no := barred.get(script_of(w[0]))) is not None:
+                        out[i, no] -= 50.0
+        return out, letters
 
     def spans(self, texts: list[str | None]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
         """(place, tokens, state of each token, letters of each token) of each text that has tokens."""
-        place, tokens_of, ids = {}, [], []
-        rows, letters = [np.zeros(len(self.languages))], [0]
-        for text in texts:
-            tokens = (text or "").split()
-            own = np.empty(len(tokens), dtype=np.int32)
-            for i, token in enumerate(tokens):
-                at = place.get(token)
-                if at is None:
-                    at = place[token] = self._known(token, rows, letters)
-                own[i] = at
-            tokens_of.append(tokens)
-            ids.append(own)
-        matrix, count = np.stack(rows), np.array(letters)
-        for own, lengths, cells in padded(ids):
-            cells = cells.T.copy()
-            paths = viterbi(lambda t, k, cells=cells: matrix[cells[t, :k]], lengths, len(self.languages), self.penalty)
-            for i, n, path in zip(own.tolist(), lengths.tolist(), paths, strict=True):
-                yield i, tokens_of[i], path[:n], count[ids[i]]
-
-    def _known(self, token: str, rows: list, letters: list) -> int:
-        if len(self._places) > KEPT:
-            self._places.clear()
-        found = self._places.get(token)
-        if found is None:
-            found = self.word_scores(token)
-            if len(token) < 64:
-                self._places[token] = found
-        rows.append(found[0])
-        letters.append(found[1])
-        return len(rows) - 1
+        for start in range(0, len(texts), TOGETHER):
+            tokens_of = [(t or "").split() for t in texts[start : start + TOGETHER]]
+            place = {t: i for i, t in enumerate(dict.fromkeys(t for own in tokens_of for t in own))}
+            ids = [np.fromiter(map(place.__getitem__, own), dtype=np.int32, count=len(own)) for own in tokens_of]
+            matrix, count = self.word_scores(list(place))
+            for own, lengths, cells in padded(ids):
+                cells = cells.T.copy()
+                paths = viterbi(lambda t, k, cells=cells: matrix[cells[t, :k]], lengths, len(self.languages), self.penalty)
+                for i, n, path in zip(own.tolist(), lengths.tolist(), paths, strict=True):
+                    yield start + i, tokens_of[i], path[:n], count[ids[i]]
 
 
 def train(texts: list[str], languages: list[str], penalty: float = 6.0) -> LanguageModel:
@@ -110,14 +112,13 @@ def train(texts: list[str], languages: list[str], penalty: float = 6.0) -> Langu
         return LanguageModel([], np.zeros((BUCKETS, 0)), {}, penalty)
     counts = np.zeros((BUCKETS, len(names)))
     scripts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(names)))
-    of = {n: i for i, n in enumerate(names)}
-    words: dict[tuple[str, int], int] = defaultdict(int)
-    for text, name in zip(texts, languages, strict=True):
-        for part in LETTERS.findall(text.lower()):
-            words[part[:64], of[name]] += 1
-    for (word, k), n in words.items():
-        np.add.at(counts[:, k], grams(word), min(n, 50))
-        scripts[script_of(word[0])][k] += n * len(word)
+    for k, name in enumerate(names):
+        words = Counter(w for t, own in zip(texts, languages, strict=True) if own == name for w in LETTERS.findall(t.lower()))
+        if words:
+            gram_sums(list(words), counts=(own := np.zeros(BUCKETS)), weights=np.minimum(list(words.values()), 50).astype(float))
+            counts[:, k] = own
+        for w, n in words.items():
+            scripts[script_of(w[0])][k] += n * len(w)
     table = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS))
     total = sum(scripts.values())
     return LanguageModel(names, table.astype(np.float32), {s: c >= 0.01 * np.maximum(total, 1) for s, c in scripts.items()}, penalty)
