@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -121,12 +120,50 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
+def near_pairs(sizes: np.ndarray, bits: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``tree_pairs`` of one list sorted by size; one that fits into a node needs no levels."""
+    if len(sizes) > FAN:
+        _, codes = np.unique(groups, return_inverse=True)
+        return tree_pairs(SignatureTree(sizes, bits, codes))
+    i, j = np.triu_indices(len(sizes), 1)
+    keep = (groups[i] != groups[j]) & (5 * sizes[i] >= 4 * sizes[j])
+    i, j = i[keep], j[keep]
+    if len(i):
+        ones = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1).astype(np.int64) + np.minimum(sizes[i] - ones[i], sizes[j] - ones[j])
+        keep = 9 * most >= 4 * (sizes[i] + sizes[j])
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def group_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows sorted by ``keys``, in tables of whole groups, with the borders of these."""
+    held: list[pa.RecordBatch] = []
+    for batch in (*batches, None):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+        if not held:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        columns = [whole.column(k).to_numpy() for k in keys]
+        fresh = np.zeros(whole.num_rows, dtype=bool)
+        fresh[0] = True
+        for c in columns:
+            fresh[1:] |= c[1:] != c[:-1]
+        borders = np.flatnonzero(fresh).tolist()
+        if batch is None:
+            yield whole, [*borders, whole.num_rows]
+        elif len(borders) > 1:
+            yield whole.slice(0, borders[-1]), borders
+            held = whole.slice(borders[-1]).to_batches()
+
+
 def linked(members: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect what is connected among the sets, no more than needed; (i, j) by place."""
     order = sorted(range(len(members)), key=lambda k: len(members[k]))
     sets = [members[k] for k in order]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    tree = SignatureTree(sizes, np.stack([bitmap(s) for s in sets]), np.full(len(sets), -1))
+    found = near_pairs(sizes, np.stack([bitmap(s) for s in sets]), np.arange(len(sets)))
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -136,7 +173,7 @@ def linked(members: list[np.ndarray]) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for i, j in zip(*(x.tolist() for x in tree_pairs(tree)), strict=True):
+    for i, j in zip(*(x.tolist() for x in found), strict=True):
         if (a := find(i)) != (b := find(j)) and similar(sets[i], sets[j]):
             root[b] = a
             out.append((order[i], order[j]))
@@ -226,12 +263,19 @@ def jaccard_components(
     hubs = sized.where("cid = hub").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     grouped = sized.where("cid <> hub").unionByName(hubs).select("h", "part", "cid").join(sets.select("cid", "s"), "cid")
 
-    def contract(group: pd.DataFrame) -> pd.DataFrame:
-        cids = group["cid"].to_numpy()
-        links = linked([np.frombuffer(x, dtype=np.uint64) for x in group["s"]])
-        return pd.DataFrame({"a": [cids[i] for i, _ in links], "b": [cids[j] for _, j in links]}, dtype="int64")
-
-    edges = stored(grouped.groupBy("h", "part").applyInPandas(contract, "a bigint, b bigint"), "jaccard-edges")
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, borders in group_runs(batches, ["h", "part"]):
+            cids, texts = part.column("cid").to_numpy(), part.column("s")
+            a, b = [], []
+            for low, high in zip(borders, borders[1:], strict=False):
+                if high - low > 1:
+                    for i, j in linked([np.frombuffer(x.as_py(), dtype=np.uint64) for x in texts.slice(low, high - low)]):
+                        a.append(cids[low + i])
+                        b.append(cids[low + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = grouped.repartition("h", "part").sortWithinPartitions("h", "part", "cid")
+    edges = stored(dealt.mapInArrow(contract, "a bigint, b bigint"), "jaccard-edges")
     label = components(edges)
     # what is left: tokens at which different components meet
     named = met.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("h", "cid", F.coalesce("component", "cid").alias("g"))
@@ -250,19 +294,28 @@ def jaccard_components(
     )
     both = small.unionByName(large.join(sides, ["h", "run"]).drop("run"))
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        trees = []
-        for side in (0, 1):
-            x = group[group["side"] == side].sort_values(["n", "cid"], kind="stable")
-            if len(x):
-                bits = np.frombuffer(b"".join(x["bits"]), dtype=np.uint64).reshape(len(x), -1)
-                codes = group["g"].rank(method="dense").astype("int64")[x.index].to_numpy()
-                trees.append((x["cid"].to_numpy(), SignatureTree(x["n"].to_numpy(dtype=np.int64), bits, codes)))
-        i, j = tree_pairs(*(t for _, t in trees))
-        a, b = trees[0][0][i], trees[-1][0][j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    pairs = stored(both.groupBy("h", "i", "j").applyInPandas(meet, "a bigint, b bigint").distinct(), "jaccard-pairs")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, borders in group_runs(batches, ["h", "i", "j"]):
+            cid, n, g, side = (part.column(c).to_numpy() for c in ("cid", "n", "g", "side"))
+            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint64).reshape(len(cid), -1)
+            ends: list[tuple[np.ndarray, np.ndarray]] = []
+            for low, high in zip(borders, borders[1:], strict=False):
+                own = slice(low, high)
+                middle = low + int((side[own] == 0).sum())
+                if middle == high:
+                    i, j = near_pairs(n[own], bits[own], g[own])
+                    ends.append((cid[low + i], cid[low + j]))
+                else:
+                    codes = np.unique(g[own], return_inverse=True)[1]
+                    left = SignatureTree(n[low:middle], bits[low:middle], codes[: middle - low])
+                    i, j = tree_pairs(left, SignatureTree(n[middle:high], bits[middle:high], codes[middle - low :]))
+                    ends.append((cid[low + i], cid[middle + j]))
+            a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    ordered = both.select("h", "i", "j", "side", "n", "cid", "g", "bits").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "n", "cid")
+    pairs = stored(ordered.mapInArrow(meet, "a bigint, b bigint").distinct(), "jaccard-pairs")
     with_a = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
     with_both = with_a.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
 
