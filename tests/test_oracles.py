@@ -34,7 +34,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(plain(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(entry.catalogue.ORACLES))
 def test_oracle(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).df()

@@ -143,9 +143,10 @@ def alpha001(bars: DataFrame, window: int = 5) -> DataFrame:
 @register_factor("alpha002")
 def alpha002(bars: DataFrame, window: int = 6) -> DataFrame:
     """Minus the correlation of the ranks of log-volume change and intraday return."""
-    volume = F.when(F.col("volume") > 0, F.ln(F.col("volume").cast("double")))
-    out = bars.withColumns({"_v": volume, "_i": cs.ratio(F.col("close") - F.col("open"), F.col("open"))})
-    out = out.withColumn("_d", ts.delta(F.col("_v"), 2, ts.by_ticker()))
+    before = F.lag("volume", 2).over(ts.by_ticker())
+    # the logarithm of the quotient, so that equal quotients tie exactly
+    change = F.when((F.col("volume") > 0) & (before > 0), F.ln(F.col("volume") / before))
+    out = bars.withColumns({"_d": change, "_i": cs.ratio(F.col("close") - F.col("open"), F.col("open"))})
     out = out.withColumns({c: F.when(F.col(x).isNotNull(), cs.percent_rank(x, "date")) for c, x in (("_x", "_d"), ("_y", "_i"))})
     return _signal(out, -ts.ts_corr(F.col("_x"), F.col("_y"), window, ts.trailing(window)))
 

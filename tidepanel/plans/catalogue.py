@@ -229,7 +229,7 @@ def corr_sql(n: int) -> str:
   FROM (SELECT *, CASE WHEN y IS NOT NULL THEN x END AS a, CASE WHEN x IS NOT NULL THEN y END AS b FROM r) WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS {n - 1} PRECEDING)"""
 
 
-@query(wrap(f"""{BARS_W}, v AS (SELECT date, ticker, l - lag(l, 2) OVER (PARTITION BY ticker ORDER BY date) AS dl, i FROM (SELECT *, CASE WHEN volume > 0 THEN ln(volume::DOUBLE) END AS l, (close - open) / nullif(open, 0) AS i FROM bars)),
+@query(wrap(f"""{BARS_W}, v AS (SELECT date, ticker, CASE WHEN volume > 0 AND l > 0 THEN ln(volume / l) END AS dl, i FROM (SELECT *, lag(volume, 2) OVER (PARTITION BY ticker ORDER BY date) AS l, (close - open) / nullif(open, 0) AS i FROM bars)),
 r AS (SELECT date, ticker, {pct('dl')} AS x, {pct('i')} AS y FROM v)""", corr_sql(6), "date, ticker", "value"))
 def alpha002(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fac.alpha002(panels.weekly_bars(spark, d)), "value")
