@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import stored
+from tidepanel.llm.common import release, stored
 from tidepanel.llm.components import components
 
 N = 5
@@ -240,6 +240,7 @@ def jaccard_components(
     shared = dealt.groupBy("h").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("h")
     met = stored(dealt.join(shared, "h").distinct(), "jaccard-met")
     del tokens, dealt, shared
+    release(docs.sparkSession)
     # the sets of the classes that met another, from one document each
     named = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(named.join(met.select("cid").distinct(), "cid").select("cid", "doc_id"), "jaccard-wanted")
@@ -251,17 +252,23 @@ def jaccard_components(
         s = shingles(t)
         return [(class_of(s), len(s), s.tobytes(), bitmap(s).tobytes())] if len(s) else []
 
-    sets = _mapped(texts, "cid bigint, n bigint, s binary, bits binary", held)
-    only = wanted.select("cid")
-    sets = sets.join(F.broadcast(only) if n_wanted <= BROADCAST_IDS else only, "cid", "left_semi")
-    sets = stored(sets.dropDuplicates(["cid"]), "jaccard-sets")
     # first contraction: each class with others that share its first shared token
     first = met.groupBy("cid").agg(F.min("h").alias("h"))
-    sized = first.join(first.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("hub")).where("m > 1"), "h")
-    parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    sized = first.join(first.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("hub")), "h")
+    parts = F.greatest(F.ceil(F.col("m") / F.lit(block)), F.lit(1)).cast("int")
     sized = sized.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int"))
-    hubs = sized.where("cid = hub").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    grouped = sized.where("cid <> hub").unionByName(hubs).select("h", "part", "cid").join(sets.select("cid", "s"), "cid")
+    plan = stored(sized.select("cid", "h", "part", "m", (F.col("cid") == F.col("hub")).alias("is_hub")), "jaccard-plan")
+    few = n_wanted <= BROADCAST_IDS
+    only = plan.select("cid")
+    sets = _mapped(texts, "cid bigint, n bigint, s binary, bits binary", held)
+    sets = stored(sets.join(F.broadcast(only) if few else only, "cid", "left_semi"), "jaccard-sets")
+    if not sets.groupBy("cid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        sets = stored(sets.dropDuplicates(["cid"]), "jaccard-sets")  # of repeated rows
+    release(docs.sparkSession)
+    linkable = plan.where("m > 1")
+    hub_parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("m") / F.lit(block)), F.lit(1)).cast("int") - 1)
+    places = linkable.where("not is_hub").select("cid", "h", "part").unionByName(linkable.where("is_hub").select("cid", "h", F.explode(hub_parts).alias("part")))
+    grouped = sets.select("cid", "s").join(F.broadcast(places) if few else places, "cid")
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, borders in group_runs(batches, ["h", "part"]):
@@ -276,6 +283,7 @@ def jaccard_components(
 
     dealt = grouped.repartition("h", "part").sortWithinPartitions("h", "part", "cid")
     edges = stored(dealt.mapInArrow(contract, "a bigint, b bigint"), "jaccard-edges")
+    release(docs.sparkSession)
     label = components(edges)
     # what is left: tokens at which different components meet
     named = met.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("h", "cid", F.coalesce("component", "cid").alias("g"))
@@ -316,8 +324,11 @@ def jaccard_components(
 
     ordered = both.select("h", "i", "j", "side", "n", "cid", "g", "bits").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "n", "cid")
     pairs = stored(ordered.mapInArrow(meet, "a bigint, b bigint").distinct(), "jaccard-pairs")
-    with_a = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
-    with_both = with_a.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    release(docs.sparkSession)
+    asked = stored(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "jaccard-asked")
+    own = sets.select("cid", "s").join(F.broadcast(asked) if few else asked, "cid", "left_semi")
+    with_a = pairs.join(own.toDF("a", "sa"), "a")
+    with_both = with_a.join(own.toDF("b", "sb"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
