@@ -40,8 +40,10 @@ def turnover(weights: DataFrame, first_zero: bool = False) -> DataFrame:
     aggregation replaces the comparison of days.
     """
     dates = weights.select("date").distinct().select("date", F.lead("date").over(by_date()).alias("next"), F.row_number().over(by_date()).alias("i"))
-    put = weights.join(dates, "date")
-    moves = put.select("date", "ticker", "weight").unionByName(put.where("next is not null").select(F.col("next").alias("date"), "ticker", (-F.col("weight")).alias("weight")))
+    now = F.struct(F.col("date").alias("d"), F.col("weight").alias("w"))
+    then = F.struct(F.col("next").alias("d"), (-F.col("weight")).alias("w"))
+    moves = weights.join(dates, "date").select("ticker", F.explode(F.array(now, then)).alias("m"))
+    moves = moves.where("m.d is not null").select(F.col("m.d").alias("date"), "ticker", F.col("m.w").alias("weight"))
     changed = moves.groupBy("date", "ticker").agg(F.sum("weight").alias("d")).groupBy("date").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
     out = changed.join(dates.select("date", "i"), "date")
     if first_zero:
@@ -64,11 +66,11 @@ def equity(ret: str = "portfolio_return") -> Column:
 def track(weights: DataFrame, returns: DataFrame, cost_bps: float = 0.0, ret: str = "next_day_return") -> DataFrame:
     """Daily portfolio: gross and net return, turnover, equity and position counts."""
     w = F.col("weight")
-    counts = weights.groupBy("date").agg(
-        F.sum((F.abs(w) > 1e-8).cast("int")).alias("n_positions"), F.sum((w > 1e-8).cast("int")).alias("n_long"), F.sum((w < -1e-8).cast("int")).alias("n_short"),
-    )
-    daily = portfolio_return(weights, returns, ret).withColumnRenamed("portfolio_return", "gross_return")
-    daily = daily.join(turnover(weights, first_zero=True), "date").join(counts, "date")
+    daily = weights.join(returns, ["date", "ticker"], "left").groupBy("date").agg(
+        F.sum(w * F.col(ret)).alias("gross_return"), F.sum((F.abs(w) > 1e-8).cast("int")).alias("n_positions"),
+        F.sum((w > 1e-8).cast("int")).alias("n_long"), F.sum((w < -1e-8).cast("int")).alias("n_short"),
+    ).where("gross_return is not null")
+    daily = daily.join(turnover(weights, first_zero=True), "date")
     daily = daily.withColumn("cost", F.col("turnover") * F.lit(cost_bps / 1e4)).withColumn("portfolio_return", F.col("gross_return") - F.col("cost"))
     return daily.withColumn("equity_curve", equity())
 
