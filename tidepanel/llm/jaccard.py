@@ -195,9 +195,11 @@ def _mapped(docs: DataFrame, schema: str, row) -> DataFrame:
 
 
 def _heavy_tokens(docs: DataFrame, sample: int, least: int, most: int) -> np.ndarray:
-    """Tokens frequent in about ``sample`` documents, ``most`` at most: they only order tokens, any list is right."""
-    total = docs.count()
-    share = max(1, total // sample)
+    """The ``most`` tokens most frequent in a sixteenth of the documents (more, up to ``sample`` documents, of a small table).
+
+    They only order tokens: any list gives the same links.
+    """
+    share = min(16, max(1, docs.count() // sample))
     picked = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(share)) == 0)
     tokens = _mapped(picked, "t array<bigint>", lambda d, t, k: [(shingles(t).view(np.int64),)])
     counted = tokens.select(F.explode("t").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -207,7 +209,7 @@ def _heavy_tokens(docs: DataFrame, sample: int, least: int, most: int) -> np.nda
 
 def jaccard_components(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-    sample: int = 8192, heavy_least: int = 8, heavy_most: int = 50_000, block: int = BLOCK,
+    sample: int = 8192, heavy_least: int = 3, heavy_most: int = 200_000, block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, row_key) for every row of ``docs``.
 
