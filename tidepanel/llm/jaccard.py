@@ -50,10 +50,10 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def prefix(tokens: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The first n - ceil(4n/5) + 1 tokens, frequent tokens last, else by hash."""
+    """The first n - ceil(4n/5) + 1 tokens, those in the ascending ``heavy`` last, else by hash."""
     n = len(tokens)
     take = n - (4 * n + 4) // 5 + 1
-    late = np.isin(tokens, heavy, assume_unique=True) if len(heavy) else np.zeros(n, dtype=bool)
+    late = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens if len(heavy) else np.zeros(n, dtype=bool)
     return np.concatenate([tokens[~late], tokens[late]])[:take]
 
 
