@@ -187,7 +187,7 @@ def _mapped(docs: DataFrame, schema: str, row) -> DataFrame:
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             rows = [r for x in zip(*batch.columns, strict=True) for r in row(*(v.as_py() for v in x))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
