@@ -246,7 +246,7 @@ def encode_documents_native(
 #: Where a cut before a single space might change the words: next to other white space.
 UNSAFE = re.compile(r" \s|\s ")
 #: Distinct words whose ids a worker keeps; when full it starts anew.
-KEPT = 600_000
+KEPT = 300_000
 
 
 class WordFolder:
@@ -359,7 +359,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _folder(path, pattern, ranks)
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = batch.column(text)
             packed = [folder.packed(x.as_py() or "") if x.is_valid else b"" for x in texts]
             columns = [pa.array(packed, pa.binary()), pa.array(map(folder.decode, packed), pa.binary())]
