@@ -91,4 +91,4 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs, by="grams").select("doc_id", "n_lines", "n_dropped", "text")
+    return lines.dedup_lines(docs, by="grams", min_words=0).select("doc_id", "n_lines", "n_dropped", "text")
