@@ -526,7 +526,7 @@ def split_adjust(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT DISTINCT a.t AS u, b.t AS v FROM e a JOIN e b ON a.f = b.f), r AS (SELECT u, v FROM p UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u)
 SELECT u AS ticker, min(v) AS group_id FROM r GROUP BY u""")
 def identity_groups(spark: SparkSession, d: str) -> DataFrame:
-    c = panels.table(spark, d, "customer").where("c_custkey <= 300")
+    c = panels.table(spark, d, "customer")
     a = c.select(F.concat(F.lit("t:"), F.col("c_custkey")).alias("a"), F.concat(F.lit("~n"), F.floor(F.col("c_custkey") / 3)).alias("b"))
     b = c.where("c_custkey % 4 = 0").select(F.concat(F.lit("t:"), F.col("c_custkey")).alias("a"), F.concat(F.lit("~m"), F.col("c_custkey") % 97).alias("b"))
     found = joins.connected(a.unionByName(b)).where("node like 't:%'")
