@@ -1,6 +1,7 @@
 """Registered queries use all of their tables."""
 
-from tidepanel.plans import catalogue
+from tidepanel.operators import validation
+from tidepanel.plans import alpha, catalogue
 from tidepanel.sources import panels
 
 SF = "/root/testdata/sf0.01"
@@ -24,3 +25,18 @@ def test_identity_groups_of_all_customers(spark):
     want = sorted((x, min(g)) for g in groups.values() for x in g)
     got = sorted(tuple(r) for r in catalogue.identity_groups(spark, SF).select("ticker", "group_id").collect())
     assert len(keys) > 300 and got == want
+
+
+def test_walkforward_panel_reaches_the_last_date(spark):
+    dates = sorted(r.date for r in panels.weekly_bars(spark, SF).select("date").distinct().collect())
+    got = {(r.fold, r.split, r.date) for r in catalogue.walkforward_panel(spark, SF).select("fold", "split", "date").distinct().collect()}
+    folds = validation.walk_forward_folds(len(dates), 52, 26, 2)
+    assert {d for _, _, d in got} >= {dates[-1]}
+    assert got == {(f.fold, s, d) for f in folds for s, a, b in (("is", f.train_start, f.train_end), ("oos", f.test_start, f.test_end)) for d in dates[a:b]}
+
+
+def test_walk_forward_gets_the_number_of_dates(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(alpha, "walk_forward", lambda bars, config, n, *rest: seen.append((bars.select("date").distinct().count(), n)))
+    catalogue.walk_forward(spark, SF)
+    assert seen and seen[0][0] == seen[0][1]

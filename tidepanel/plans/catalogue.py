@@ -480,8 +480,10 @@ def sharpe_error(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT fold, 'is' AS split, t - 2 - 52 AS a, t - 2 AS b FROM f UNION ALL SELECT fold, 'oos', t, t + 26 FROM f)
 SELECT bars.date, ticker, close, fold, split FROM bars JOIN dd ON bars.date = dd.date JOIN p ON i >= a AND i < b""")
 def walkforward_panel(spark: SparkSession, d: str) -> DataFrame:
-    folds = validation.folds_frame(spark, validation.walk_forward_folds(210, 52, 26, 2))
-    return validation.split_by_folds(panels.weekly_bars(spark, d).select("date", "ticker", "close"), folds)
+    bars = panels.weekly_bars(spark, d)
+    n = bars.select("date").distinct().count()
+    folds = validation.folds_frame(spark, validation.walk_forward_folds(n, 52, 26, 2))
+    return validation.split_by_folds(bars.select("date", "ticker", "close"), folds)
 
 
 TICKS = "t AS (SELECT event_type AS ticker, ts, value AS price, hour(ts) * 60 + minute(ts) AS m FROM events), s AS (SELECT *, CASE WHEN m >= 240 AND m < 570 THEN 'premarket' WHEN m >= 570 AND m < 960 THEN 'regular' WHEN m >= 960 AND m < 1200 THEN 'afterhours' ELSE 'other' END AS session FROM t)"
@@ -619,7 +621,8 @@ def bootstrap_sharpe(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     config = alpha.AlphaConfig(factors=["momentum"], n_long=5, n_short=5, rebalance_every=4)
-    return alpha.walk_forward(panels.weekly_bars(spark, d), config, 350, 130, 90, 5)
+    bars = panels.weekly_bars(spark, d)
+    return alpha.walk_forward(bars, config, bars.select("date").distinct().count(), 130, 90, 5)
 
 
 @query()
