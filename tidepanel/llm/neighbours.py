@@ -130,15 +130,17 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``k`` best of each query by inner product, ties to the less id.
 
     Queries are the rows whose id is divisible by ``every``; a query is no
-    candidate of its own.  Scores are inner products in double precision.
+    candidate of its own.  Equal rows count once, as queries and as candidates;
+    each further vector of a query's id has a list of its own, ranked from 1,
+    and each of a candidate's id is a candidate.  Scores are inner products in double precision.
     Vectors that are NULL, zero or not finite take no part, nor do those of
     another dimension than a query's.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    kept = stored(usable(vectors, vec_id, embedding), "nn-vectors")
+    kept = stored(usable(vectors, vec_id, embedding).distinct(), "nn-vectors")
     facts = kept.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"))
     n, most = facts.collect()[0]
-    schema = "query_id bigint, vec_id bigint, score double"
+    schema = "query_id bigint, qk bigint, vec_id bigint, score double"
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     longest = float(np.sqrt(most)) * (1 + 1e-12)
@@ -160,18 +162,19 @@ def nearest(
     queries = (
         kept.where(F.pmod("id", F.lit(every)) == 0)
         .withColumn("block", F.pmod(salt, F.lit(blocks)).cast("int"))
+        .withColumn("qk", F.xxhash64("id", "v"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     )
 
     def search(tree: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, float]] = []
         if len(tree) and len(asked):
             for vp in pickle.loads(tree["tree"].iloc[0]):
                 own = asked[asked["v"].map(len) == vp.vectors.shape[1]]
                 if not len(own):
                     continue
                 q = np.stack(own["v"].to_numpy()).astype(np.float64)
-                for qid, vector, rows in zip(own["id"].tolist(), q, vp.search(q, k + 1, factor), strict=True):
+                for qid, qk, vector, rows in zip(own["id"].tolist(), own["qk"].tolist(), q, vp.search(q, k + 1, factor), strict=True):
                     exact = (vp.vectors[rows] * vector).sum(axis=1)
                     best = np.argsort(-exact, kind="stable")
                     got: list[tuple[float, int]] = []
@@ -180,11 +183,11 @@ def nearest(
                             break
                         got.extend((float(exact[i]), c) for c in vp.ids[rows[i]].tolist() if c != qid)
                         got.sort(key=lambda x: (-x[0], x[1]))
-                    out.extend((qid, c, s) for s, c in got[:k])
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    out.extend((qid, qk, c, s) for s, c in got[:k])
+        return pd.DataFrame(out, columns=["query_id", "qk", "vec_id", "score"])
 
     found = trees.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(search, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "qk").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
