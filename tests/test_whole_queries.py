@@ -1,5 +1,7 @@
 """Registered queries use all of their tables."""
 
+import pytest
+
 from tidepanel.operators import validation
 from tidepanel.plans import alpha, catalogue
 from tidepanel.sources import panels
@@ -40,3 +42,9 @@ def test_walk_forward_gets_the_number_of_dates(spark, monkeypatch):
     monkeypatch.setattr(alpha, "walk_forward", lambda bars, config, n, *rest: seen.append((bars.select("date").distinct().count(), n)))
     catalogue.walk_forward(spark, SF)
     assert seen and seen[0][0] == seen[0][1]
+
+
+def test_bootstrap_has_the_default_replicates(spark):
+    got = catalogue.bootstrap_sharpe(spark, SF).collect()[0]
+    want = validation.bootstrap_sharpe(catalogue._daily(spark, SF), n_boot=10_000).collect()[0]
+    assert got.asDict() == pytest.approx(want.asDict())

@@ -615,7 +615,7 @@ def benchmark_relative(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_sharpe(spark: SparkSession, d: str) -> DataFrame:
-    return validation.bootstrap_sharpe(_daily(spark, d), n_boot=2000)
+    return validation.bootstrap_sharpe(_daily(spark, d))
 
 
 @query()
