@@ -1,5 +1,7 @@
 """The order of tokens that the prefix filter needs."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -20,8 +22,14 @@ def test_frequent_tokens_ascend_and_short_sets_meet(spark):
             assert set(jaccard.prefix(a, heavy).tolist()) & set(jaccard.prefix(b, heavy).tolist())
 
 
+def word_sets(text):
+    """Sets of plain tuples of words, told apart from what is tested."""
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute(texts):
-    sets = [jaccard.shingles(t) for t in texts]
+    sets = [word_sets(t) for t in texts]
     root = list(range(len(sets)))
 
     def find(x):
@@ -31,7 +39,7 @@ def brute(texts):
 
     for i in range(len(sets)):
         for j in range(i):
-            if len(sets[i]) and len(sets[j]) and jaccard.similar(sets[i], sets[j]):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [find(i) for i in range(len(sets))]
@@ -49,3 +57,31 @@ def test_short_documents_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_shared_passages_copies_and_every_document_of_a_table(spark):
+    """All documents of sf0.001, and made ones that share passages, against plain sets of words; frequent tokens, small groups, no broadcasts."""
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    rng = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(60)]
+    texts = list(real)
+    for base in range(10):
+        words = [f"b{base}w{k}" for k in range(int(rng.integers(30, 200)))]
+        for copy in range(12):
+            own = list(words)
+            for _ in range(int(rng.integers(0, 6))):
+                own[int(rng.integers(len(own)))] = f"x{base}{copy}{int(rng.integers(1000))}"
+            texts.append(" ".join(own + (passage if copy % 3 else [])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute(texts)
+    for options in ({}, {"block": 3, "broadcast": 0, "sample": 64, "heavy_least": 2}):
+        got = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard.jaccard_components(df, **options).collect()}
+        assert [got[i][0] for i in range(len(texts))] == want
+        assert [got[i][1] for i in range(len(texts))] == [len(word_sets(t)) for t in texts]
+
+
+def test_repeated_rows_and_clashing_columns_are_carried_on(spark):
+    rows = [(2, "a b c d e f g", 7, 1), (1, "A b c d e f g", 8, 2), (2, "a b c d e f g", 7, 1), (3, None, 9, 3), (4, "", 9, 4), (None, "a b c d e f g", 5, 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, rk int, g int")
+    got = sorted((tuple(r) for r in jaccard.drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([rows[1], rows[3], rows[4]], key=str)

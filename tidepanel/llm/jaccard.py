@@ -1,10 +1,13 @@
 """N-gram Jaccard join: documents whose word shingles are nearly the same, exactly and without pairing all.
 
-Two sets of similarity 4/5 share one of the first tokens of each, in any order
-common to all; so only documents that share such a token can be linked.  Within
-these groups signature trees hold OR-combined token bitmaps and size ranges,
-and a dual traversal drops pairs of nodes by their greatest possible overlap.
-Equal sets are one class throughout, and pairs already connected are skipped.
+Two sets of n tokens and similarity 4/5 share l of the first n - ceil(4n/5) + l
+tokens of each, in any order common to all and for any l.  So a document with
+fewer than l such tokens in common with all others together is linked with
+none; of those that are left, only documents that share a token for l = 1 can
+be linked.  Within these groups signature trees hold OR-combined token bitmaps and
+size ranges, and a dual traversal drops pairs of nodes by their greatest
+possible overlap.  Equal sets are one class throughout, and pairs already
+connected are skipped.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import release, stored
+from tidepanel.llm.common import forget, group_runs, release, shared_rows, sliced, stored, unused
 from tidepanel.llm.components import components
 
 N = 5
@@ -49,10 +52,15 @@ def class_of(tokens: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def prefix(tokens: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The first n - ceil(4n/5) + 1 tokens, those in the ascending ``heavy`` last, else by hash."""
+def shared_at_least(n: int) -> int:
+    """The l of sets of ``n`` tokens: they share so many first tokens with all others together, or are linked with none."""
+    return 1 + n // 20
+
+
+def prefix(tokens: np.ndarray, heavy: np.ndarray, more: int = 1) -> np.ndarray:
+    """The first n - ceil(4n/5) + ``more`` tokens, those in the ascending ``heavy`` last, else by hash."""
     n = len(tokens)
-    take = n - (4 * n + 4) // 5 + 1
+    take = n - (4 * n + 4) // 5 + more
     late = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens if len(heavy) else np.zeros(n, dtype=bool)
     return np.concatenate([tokens[~late], tokens[late]])[:take]
 
@@ -136,28 +144,6 @@ def near_pairs(sizes: np.ndarray, bits: np.ndarray, groups: np.ndarray) -> tuple
     return i, j
 
 
-def group_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
-    """Rows sorted by ``keys``, in tables of whole groups, with the borders of these."""
-    held: list[pa.RecordBatch] = []
-    for batch in (*batches, None):
-        if batch is not None and batch.num_rows:
-            held.append(batch)
-        if not held:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks()
-        columns = [whole.column(k).to_numpy() for k in keys]
-        fresh = np.zeros(whole.num_rows, dtype=bool)
-        fresh[0] = True
-        for c in columns:
-            fresh[1:] |= c[1:] != c[:-1]
-        borders = np.flatnonzero(fresh).tolist()
-        if batch is None:
-            yield whole, [*borders, whole.num_rows]
-        elif len(borders) > 1:
-            yield whole.slice(0, borders[-1]), borders
-            held = whole.slice(borders[-1]).to_batches()
-
-
 def linked(members: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect what is connected among the sets, no more than needed; (i, j) by place."""
     order = sorted(range(len(members)), key=lambda k: len(members[k]))
@@ -180,36 +166,42 @@ def linked(members: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _mapped(docs: DataFrame, schema: str, row) -> DataFrame:
-    """``row(*columns)`` gives the rows of a document."""
+def _mapped(docs: DataFrame, schema: str, row, most: int = 1 << 20) -> DataFrame:
+    """``row(*columns)`` gives the rows of a document; ``docs`` has a column text."""
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            rows = [r for x in zip(*batch.columns, strict=True) for r in row(*(v.as_py() for v in x))]
+        for batch in sliced(batches, "text", most):
+            rows = [r for x in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in row(*x)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _heavy_tokens(docs: DataFrame, sample: int, least: int, most: int) -> np.ndarray:
-    """The ``most`` tokens most frequent in a sixteenth of the documents (more, up to ``sample`` documents, of a small table).
+    """The ``most`` tokens most frequent among about ``sample`` documents.
 
     They only order tokens: any list gives the same links.
     """
-    share = min(16, max(1, docs.count() // sample))
-    picked = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(share)) == 0)
+    share = max(1, docs.count() // sample)
+    picked = docs.where(F.pmod(F.xxhash64(F.lit(3), "row_key"), F.lit(share)) == 0)
     tokens = _mapped(picked, "t array<bigint>", lambda d, t, k: [(shingles(t).view(np.int64),)])
     counted = tokens.select(F.explode("t").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     top = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()["h"].to_numpy()
     return np.sort(top.astype(np.int64).view(np.uint64))
 
 
+def _shared(tokens: DataFrame) -> DataFrame:
+    """The distinct rows (h, cid, nr) whose token several classes have."""
+    dealt = tokens.select("h", "cid", "nr").repartition("h").sortWithinPartitions("h", "cid")
+    return dealt.mapInArrow(lambda x: shared_rows(x, "h", "cid"), "h bigint, cid bigint, nr bigint")
+
+
 def jaccard_components(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-    sample: int = 8192, heavy_least: int = 3, heavy_most: int = 200_000, block: int = BLOCK,
+    sample: int = 8192, heavy_least: int = 3, heavy_most: int = 200_000, block: int = BLOCK, broadcast: int = BROADCAST_IDS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, row_key) for every row of ``docs``.
 
@@ -220,35 +212,60 @@ def jaccard_components(
     rows of their own; rows without an id get the component they link to
     (NULL if nobody there has an id).  Sets are compared by 64-bit hashes.
     ``class_id`` names equal sets, ``row_key`` is xxhash64(doc_id, text).
+    Empty tables give no rows; other columns are not read.  ``sample``,
+    ``heavy_least`` and ``heavy_most`` (frequent tokens), ``block`` (classes of
+    a group in one task) and ``broadcast`` (ids) affect cost only.
     """
     key = F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key")
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), key)
 
-    def signature(d, t, k):
-        s = shingles(t)
-        return [(d, len(s), class_of(s) if len(s) else None, k)]
-
-    rows = stored(_mapped(own, "doc_id bigint, n_shingles bigint, cid bigint, row_key bigint", signature), "jaccard-rows")
     heavy = _heavy_tokens(own, sample, heavy_least, heavy_most)
 
-    def starts(d, t, k):
-        s = shingles(t)
-        if not len(s):
-            return []
-        return [(class_of(s), prefix(s, heavy).view(np.int64))]
-
-    tokens = _mapped(own, "cid bigint, p array<bigint>", starts).select(F.explode("p").alias("h"), "cid")
-    dealt = tokens.repartition("h")
-    shared = dealt.groupBy("h").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("h")
-    met = stored(dealt.join(shared, "h").distinct(), "jaccard-met")
-    del tokens, dealt, shared
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in sliced(batches, "text"):
+            sets = [shingles(t) for t in part.column("text").to_pylist()]
+            cids = [class_of(x) if len(x) else None for x in sets]
+            first: list[np.ndarray | None] = []
+            for cid, tokens in zip(cids, sets, strict=True):
+                fresh = cid is not None and cid not in seen
+                first.append(prefix(tokens, heavy, shared_at_least(len(tokens))).view(np.int64) if fresh else None)
+                if fresh:
+                    seen.add(cid)
+            if len(seen) > 500_000:  # then some tokens come again
+                seen.clear()
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(cids, pa.int64()), part.column("row_key"), pa.array(first, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "cid", "row_key", "p"],
+            )
+
+    rows = stored(own.mapInArrow(signatures, "doc_id bigint, n_shingles bigint, cid bigint, row_key bigint, p array<bigint>"), "jaccard-rows")
+    # nr: the set's size, and in the last bit whether the token is among the first for l = 1
+    n = F.col("n_shingles")
+    short = n - F.floor((4 * n + 4) / F.lit(5)) + 1
+    tokens = rows.where("p is not null").select("cid", n.alias("n_shingles"), short.alias("short"), F.posexplode("p").alias("at", "h"))
+    rest = stored(_shared(tokens.select("h", "cid", (2 * n + (F.col("at") < F.col("short")).cast("bigint")).cast("bigint").alias("nr"))), "jaccard-shared")
+    del tokens
+    release(docs.sparkSession)
+    before, now = None, rest.count()
+    while before is None or now < 0.9 * before:
+        # the least l that a document and another of at least 4/5 of its size have
+        size = F.floor(F.first("nr") / F.lit(2))
+        least = 1 + F.floor(F.floor((4 * size + 4) / F.lit(5)) / F.lit(20))
+        able = rest.groupBy("cid").agg(F.count(F.lit(1)).alias("c"), least.alias("least")).where("c >= least").select("cid")
+        old, rest = rest, stored(_shared(rest.join(able, "cid", "left_semi")), "jaccard-shared")
+        forget(old)
+        before, now = now, rest.count()
+        release(docs.sparkSession)
+    met = stored(_shared(rest.where(F.col("nr").bitwiseAND(F.lit(1)) == 1)).select("h", "cid"), "jaccard-met")
+    forget(rest)
     release(docs.sparkSession)
     # the sets of the classes that met another, from one document each
     named = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(named.join(met.select("cid").distinct(), "cid").select("cid", "doc_id"), "jaccard-wanted")
     n_wanted = wanted.count()
     ids = wanted.select("doc_id").where("doc_id is not null").distinct()
-    texts = own.join(F.broadcast(ids) if n_wanted <= BROADCAST_IDS else ids, "doc_id", "left_semi").unionByName(own.where("doc_id is null"))
+    texts = own.join(F.broadcast(ids) if n_wanted <= broadcast else ids, "doc_id", "left_semi").unionByName(own.where("doc_id is null"))
 
     def held(d, t, k):
         s = shingles(t)
@@ -260,10 +277,10 @@ def jaccard_components(
     parts = F.greatest(F.ceil(F.col("m") / F.lit(block)), F.lit(1)).cast("int")
     sized = sized.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int"))
     plan = stored(sized.select("cid", "h", "part", "m", (F.col("cid") == F.col("hub")).alias("is_hub")), "jaccard-plan")
-    few = n_wanted <= BROADCAST_IDS
+    few = n_wanted <= broadcast
     only = plan.select("cid")
     sets = _mapped(texts, "cid bigint, n bigint, s binary, bits binary", held)
-    sets = stored(sets.join(F.broadcast(only) if few else only, "cid", "left_semi"), "jaccard-sets")
+    sets = every = stored(sets.join(F.broadcast(only) if few else only, "cid", "left_semi"), "jaccard-sets")
     if not sets.groupBy("cid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
         sets = stored(sets.dropDuplicates(["cid"]), "jaccard-sets")  # of repeated rows
     release(docs.sparkSession)
@@ -327,6 +344,7 @@ def jaccard_components(
     ordered = both.select("h", "i", "j", "side", "n", "cid", "g", "bits").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "n", "cid")
     pairs = stored(ordered.mapInArrow(meet, "a bigint, b bigint").distinct(), "jaccard-pairs")
     release(docs.sparkSession)
+    forget(met, large)
     asked = stored(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "jaccard-asked")
     own = sets.select("cid", "s").join(F.broadcast(asked) if few else asked, "cid", "left_semi")
     with_a = pairs.join(own.toDF("a", "sa"), "a")
@@ -339,7 +357,10 @@ def jaccard_components(
 
     late = with_both.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint")
     star = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    joined = components(star.unionByName(late)).toDF("cid", "part")
+    late = stored(late, "jaccard-late")
+    forget(pairs, asked, sets, *([every] if every is not sets else []), plan, wanted)
+    release(docs.sparkSession)
+    joined = (label if late.isEmpty() else components(star.unionByName(late))).toDF("cid", "part")
     classed = rows.join(joined, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     lowest = classed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = classed.join(lowest, "part", "left")
@@ -352,20 +373,24 @@ def jaccard_components(
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the least id, NULL ids last.
 
-    Texts without shingles all stay.  Of repeated rows one stays.
+    NULL, empty and blank texts all stay.  Of repeated rows one stays.  All
+    columns stay as they are; empty tables stay empty.
     """
     found = stored(jaccard_components(docs, doc_id=doc_id, text=text), "jaccard-found")
     group = F.coalesce(F.col("component_id"), F.col("class_id"))
     some = found.where("n_shingles > 0")
     best = some.groupBy(group.alias("g"), F.col("component_id").isNull().alias("unnamed")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key"))["row_key"].alias("kept")
+        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key"))["row_key"].alias("kept"), F.count(F.lit(1)).alias("n")
     )
+    best = stored(best.where("n > 1").drop("n"), "jaccard-best")
     gone = some.select("row_key", group.alias("g"), F.col("component_id").isNull().alias("unnamed")).join(best, ["g", "unnamed"])
-    gone = gone.where("row_key <> kept").select(F.col("row_key").alias("_rk")).distinct()
-    keyed = docs.withColumn("_rk", F.xxhash64(F.col(doc_id), F.col(text)))
-    out = keyed.join(gone, "_rk", "left_anti")
-    again = some.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row_key").alias("_rk"))
+    rk = unused(docs.columns, "rk")
+    gone = stored(gone.where("row_key <> kept").select(F.col("row_key").alias(rk)).distinct(), "jaccard-gone")
+    keyed = docs.withColumn(rk, F.xxhash64(F.col(doc_id), F.col(text)))
+    out = keyed.join(gone, rk, "left_anti")
+    again = some.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row_key").alias(rk))
     if not again.isEmpty():
-        once = out.join(again, "_rk", "left_semi").dropDuplicates(["_rk"])
-        out = out.join(again, "_rk", "left_anti").unionByName(once)
+        again = stored(again, "jaccard-again")
+        once = out.join(again, rk, "left_semi").dropDuplicates([rk])
+        out = out.join(again, rk, "left_anti").unionByName(once)
     return out.select(*docs.columns)
