@@ -27,6 +27,8 @@ N = 5
 BITS, FAN = 2048, 8
 #: Members of one group that are compared in one task; a larger group is split.
 BLOCK = 1024
+#: Rounds in which components are joined by one pair each, before all pairs that are left are compared.
+CONTRACTIONS = 3
 #: Ids that are broadcast (8 MB) to fetch their texts; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -199,6 +201,64 @@ def _shared(tokens: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lambda x: shared_rows(x, "h", "cid"), "h bigint, cid bigint, nr bigint")
 
 
+def _meetings(met: DataFrame, sets: DataFrame, label: DataFrame, block: int, step: int) -> DataFrame:
+    """(a, b): pairs of different components that the trees leave at a shared token; in a ``step`` one pair of two components at most, at a quarter of the tokens."""
+    if step:
+        met = met.where(F.pmod(F.xxhash64("h", F.lit(step)), F.lit(4)) == 0)
+    named = met.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("h", "cid", F.coalesce("component", "cid").alias("g"))
+    mixed = named.groupBy("h").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("h", "m")
+    rest = named.join(mixed, "h").join(sets.select("cid", "n", "bits"), "cid")
+    # a large group is cut into runs of like size; runs meet in pairs if their sizes allow it
+    place = F.row_number().over(Window.partitionBy("h").orderBy("n", "cid"))
+    small = rest.where(F.col("m") <= block).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
+    large = rest.where(F.col("m") > block).withColumn("run", F.floor((place - 1) / F.lit(block)).cast("int"))
+    large = stored(large, "jaccard-large")
+    runs = large.groupBy("h", "run").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    r0, r1 = runs.toDF("h", "i", "low0", "high0"), runs.toDF("h", "j", "low1", "high1")
+    meets = r0.join(r1, "h").where("i <= j and 5 * high0 >= 4 * low1").select("h", "i", "j")
+    sides = meets.select("h", "i", "j", F.col("i").alias("run"), F.lit(0).alias("side")).unionByName(
+        meets.where("i < j").select("h", "i", "j", F.col("j").alias("run"), F.lit(1).alias("side"))
+    )
+    both = small.unionByName(large.join(sides, ["h", "run"]).drop("run"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(step)
+        for part, borders in group_runs(batches, ["h", "i", "j"]):
+            cid, n, g, side = (part.column(c).to_numpy() for c in ("cid", "n", "g", "side"))
+            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint64).reshape(len(cid), -1)
+            ends: list[tuple[np.ndarray, np.ndarray]] = []
+            for low, high in zip(borders, borders[1:], strict=False):
+                own = slice(low, high)
+                middle = low + int((side[own] == 0).sum())
+                if middle == high:
+                    i, j = near_pairs(n[own], bits[own], g[own])
+                    i, j = low + i, low + j
+                else:
+                    codes = np.unique(g[own], return_inverse=True)[1]
+                    left = SignatureTree(n[low:middle], bits[low:middle], codes[: middle - low])
+                    i, j = tree_pairs(left, SignatureTree(n[middle:high], bits[middle:high], codes[middle - low :]))
+                    i, j = low + i, middle + j
+                if step and len(i) > 1:
+                    mixed = rng.permutation(len(i))
+                    i, j = i[mixed], j[mixed]
+                    named = np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])])
+                    once = np.unique(named, axis=1, return_index=True)[1]
+                    i, j = i[once], j[once]
+                ends.append((i, j))
+            i, j = (np.concatenate(x) for x in zip(*ends, strict=True))
+            swap = cid[i] > cid[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            once = np.unique(np.stack([cid[i], cid[j]]), axis=1, return_index=True)[1] if len(i) else np.zeros(0, dtype=np.int64)
+            columns = (cid[i[once]], cid[j[once]], np.minimum(g[i[once]], g[j[once]]), np.maximum(g[i[once]], g[j[once]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "ga", "gb"])
+
+    ordered = both.select("h", "i", "j", "side", "n", "cid", "g", "bits").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "n", "cid")
+    pairs = ordered.mapInArrow(meet, "a bigint, b bigint, ga bigint, gb bigint")
+    if not step:
+        return pairs.select("a", "b").distinct()
+    return pairs.groupBy("ga", "gb").agg(F.min(F.struct(F.xxhash64("a", "b", F.lit(step)), "a", "b")).alias("p")).select("p.a", "p.b")
+
+
 def jaccard_components(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sample: int = 8192, heavy_least: int = 3, heavy_most: int = 200_000, block: int = BLOCK, broadcast: int = BROADCAST_IDS,
@@ -304,63 +364,34 @@ def jaccard_components(
     edges = stored(dealt.mapInArrow(contract, "a bigint, b bigint"), "jaccard-edges")
     release(docs.sparkSession)
     label = components(edges)
-    # what is left: tokens at which different components meet
-    named = met.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("h", "cid", F.coalesce("component", "cid").alias("g"))
-    mixed = named.groupBy("h").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("h", "m")
-    rest = named.join(mixed, "h").join(sets.select("cid", "n", "bits"), "cid")
-    # a large group is cut into runs of like size; runs meet in pairs if their sizes allow it
-    place = F.row_number().over(Window.partitionBy("h").orderBy("n", "cid"))
-    small = rest.where(F.col("m") <= block).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
-    large = rest.where(F.col("m") > block).withColumn("run", F.floor((place - 1) / F.lit(block)).cast("int"))
-    large = stored(large, "jaccard-large")
-    runs = large.groupBy("h", "run").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    r0, r1 = runs.toDF("h", "i", "low0", "high0"), runs.toDF("h", "j", "low1", "high1")
-    meets = r0.join(r1, "h").where("i <= j and 5 * high0 >= 4 * low1").select("h", "i", "j")
-    sides = meets.select("h", "i", "j", F.col("i").alias("run"), F.lit(0).alias("side")).unionByName(
-        meets.where("i < j").select("h", "i", "j", F.col("j").alias("run"), F.lit(1).alias("side"))
-    )
-    both = small.unionByName(large.join(sides, ["h", "run"]).drop("run"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, borders in group_runs(batches, ["h", "i", "j"]):
-            cid, n, g, side = (part.column(c).to_numpy() for c in ("cid", "n", "g", "side"))
-            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint64).reshape(len(cid), -1)
-            ends: list[tuple[np.ndarray, np.ndarray]] = []
-            for low, high in zip(borders, borders[1:], strict=False):
-                own = slice(low, high)
-                middle = low + int((side[own] == 0).sum())
-                if middle == high:
-                    i, j = near_pairs(n[own], bits[own], g[own])
-                    ends.append((cid[low + i], cid[low + j]))
-                else:
-                    codes = np.unique(g[own], return_inverse=True)[1]
-                    left = SignatureTree(n[low:middle], bits[low:middle], codes[: middle - low])
-                    i, j = tree_pairs(left, SignatureTree(n[middle:high], bits[middle:high], codes[middle - low :]))
-                    ends.append((cid[low + i], cid[middle + j]))
-            a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-    ordered = both.select("h", "i", "j", "side", "n", "cid", "g", "bits").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "n", "cid")
-    pairs = stored(ordered.mapInArrow(meet, "a bigint, b bigint").distinct(), "jaccard-pairs")
-    release(docs.sparkSession)
-    forget(met, large)
-    asked = stored(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "jaccard-asked")
-    own = sets.select("cid", "s").join(F.broadcast(asked) if few else asked, "cid", "left_semi")
-    with_a = pairs.join(own.toDF("a", "sa"), "a")
-    with_both = with_a.join(own.toDF("b", "sb"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [similar(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    late = with_both.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint")
-    star = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    late = stored(late, "jaccard-late")
-    forget(pairs, asked, sets, *([every] if every is not sets else []), plan, wanted)
-    release(docs.sparkSession)
-    joined = (label if late.isEmpty() else components(star.unionByName(late))).toDF("cid", "part")
+    # what is left: tokens at which different components meet; at first one pair of each two components at a part of the
+    # tokens, while that connects any, then all pairs of what is still apart
+    step = 0
+    while True:
+        step += 1
+        pairs = stored(_meetings(met, sets, label, block, step if step <= CONTRACTIONS else 0), "jaccard-pairs")
+        release(docs.sparkSession)
+        asked = stored(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "jaccard-asked")
+        own = sets.select("cid", "s").join(F.broadcast(asked) if asked.count() <= broadcast else asked, "cid", "left_semi")
+        both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
+        late = stored(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint"), "jaccard-late")
+        forget(pairs, asked)
+        release(docs.sparkSession)
+        found = not late.isEmpty()
+        if found:
+            label = components(label.where("node <> component").toDF("a", "b").unionByName(late))
+        if step > CONTRACTIONS:
+            break
+        if not found:
+            step = CONTRACTIONS
+    forget(met, sets, *([every] if every is not sets else []), plan, wanted)
+    joined = label.toDF("cid", "part")
     classed = rows.join(joined, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     lowest = classed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = classed.join(lowest, "part", "left")
