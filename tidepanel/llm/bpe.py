@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidepanel.llm.common import sliced
+
 #: No merge: greater than every rank.
 NONE = 1 << 30
 #: Multipliers of the pair hash; a pair is below 2**32, so products stay below 2**63.
@@ -246,7 +248,7 @@ def encode_documents_native(
 #: Where a cut before a single space might change the words: next to other white space.
 UNSAFE = re.compile(r" \s|\s ")
 #: Distinct words whose ids a worker keeps; when full it starts anew.
-KEPT = 300_000
+KEPT = 150_000
 
 
 class WordFolder:
@@ -359,7 +361,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _folder(path, pattern, ranks)
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+        for batch in sliced(batches, text):
             texts = batch.column(text)
             packed = [folder.packed(x.as_py() or "") if x.is_valid else b"" for x in texts]
             columns = [pa.array(packed, pa.binary()), pa.array(map(folder.decode, packed), pa.binary())]

@@ -70,8 +70,8 @@ def viterbi(scores: Callable[[int, int], np.ndarray], lengths: np.ndarray, state
     """
     rows, steps = len(lengths), int(lengths[0])
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    came = np.zeros((steps, rows, states), dtype=np.int8)
-    own = np.arange(states, dtype=np.int8)
+    came = np.zeros((steps, rows, states), dtype=np.int16)
+    own = np.arange(states, dtype=np.int16)
     best = scores(0, rows).astype(np.float64)
     for t in range(1, steps):
         k = live[t]
@@ -81,8 +81,8 @@ def viterbi(scores: Callable[[int, int], np.ndarray], lengths: np.ndarray, state
         stay = was >= enter
         came[t, :k] = np.where(stay, own, top[:, None])
         best[:k] = np.where(stay, was, enter) + scores(t, k)
-    path = np.zeros((steps, rows), dtype=np.int8)
-    state = best.argmax(axis=1).astype(np.int8)
+    path = np.zeros((steps, rows), dtype=np.int16)
+    state = best.argmax(axis=1).astype(np.int16)
     for t in range(steps - 1, -1, -1):
         k = live[t]
         path[t, :k] = state[:k]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -80,6 +81,14 @@ def remainder(doc_id: str | Column, of: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(of)).cast("int")
 
 
+def tidy() -> None:
+    """Gives memory that a worker no longer needs back to the system; idle workers stay beside the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The rows in slices of at most ``most`` bytes of ``column``, or of one row."""
     for batch in batches:
@@ -92,6 +101,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE) ->
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    tidy()
 
 
 def group_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -123,6 +133,8 @@ def group_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[t
             held.append(batch)
     if held:
         yield whole(held)
+    held.clear()
+    tidy()
 
 
 def shared_rows(batches: Iterable[pa.RecordBatch], key: str, member: str) -> Iterator[pa.RecordBatch]:

@@ -20,9 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidepanel.llm.common import sliced
+
 # --- fixed values: element classes of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg object".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+#: Elements that are left out with all that is nested in them.
+LEFT_OUT = frozenset("template svg object".split())
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption header footer nav aside form fieldset address details summary dialog menu button "
@@ -40,15 +44,25 @@ HINTS = (
     "pagination copyright toc hidden content article post entry main story body text"
 ).split()
 # ---
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
+#: A tag whose attributes are read one by one, without going back: quotes count only after an equals sign.
+TAG = re.compile(
+    r"<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))?+)*+[\s/]*+)>"
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HINT_OF = {w: i for i, w in enumerate(HINTS)}
 BOXES = frozenset(i for w, i in HINT_OF.items() if w not in ("content", "article", "post", "entry", "main", "story", "body", "text"))
 SPLIT = re.compile(r"[^a-z]+")
+#: First and last parts of names that tell about a page or a box's state, not its kind: has-sidebar, comments-open, search-results.
+ABOUT_FIRST, ABOUT_LAST = frozenset("no has with without hide show is not".split()), frozenset("open closed enabled disabled results result".split())
+
+
+def kinds_in(value: str) -> Iterator[int]:
+    """The hints in a class, id or role."""
+    for name in value.lower().split():
+        parts = [x for x in SPLIT.split(name) if x]
+        if len(parts) > 1 and (parts[0] in ABOUT_FIRST or parts[-1] in ABOUT_LAST):
+            continue
+        yield from (HINT_OF[x] for x in parts if x in HINT_OF)
 
 
 class Page:
@@ -81,19 +95,38 @@ class Page:
     def _parse(self, source: str) -> None:
         open_tags: list[tuple[str, int]] = [("#", 0)]
         links, fresh, at, end = 0, True, 0, len(source)
-        lower = None
+        unclosed: set[str] = set()
+
+        def after(mark: str, start: int) -> int:
+            """The place behind the next ``mark``, or the end."""
+            return found + len(mark) if (found := source.find(mark, start)) >= 0 else end
+
         while at < end:
-            found = TOKEN.search(source, at)
-            if found is None:
+            begin = source.find("<", at)
+            if begin < 0:
                 fresh = self._text(open_tags[-1][1], html.unescape(source[at:]), links, fresh)
                 break
-            if found.start() > at:
-                fresh = self._text(open_tags[-1][1], html.unescape(source[at : found.start()]), links, fresh)
-            at = found.end()
-            name = found[2]
-            if name is None:
+            follows = source[begin + 1 : begin + 2]
+            if not (follows in ("!", "?", "/") or follows.isascii() and follows.isalpha()):  # no markup
+                begin = source.find("<", begin + 1)
+                begin = end if begin < 0 else begin
+                fresh = self._text(open_tags[-1][1], html.unescape(source[at:begin]), links, fresh)
+                at = begin
                 continue
-            name = name.lower()
+            if begin > at:
+                fresh = self._text(open_tags[-1][1], html.unescape(source[at:begin]), links, fresh)
+            if source.startswith("<!--", begin):
+                at = after(">", begin + 4) if source.startswith((">", "->"), begin + 4) else after("-->", begin + 4)
+                continue
+            if source.startswith("<![CDATA[", begin):
+                at = after("]]>", begin)
+                continue
+            found = TAG.match(source, begin)
+            if found is None:  # a comment of another kind, or a quote without end
+                at = after(">", begin + 1)
+                continue
+            at = found.end()
+            name = found[2].lower()
             if found[1]:
                 if name == "a":
                     links = max(0, links - 1)
@@ -104,13 +137,24 @@ class Page:
                             fresh, links = True, 0
                             break
                 continue
-            if name in RAW and not found[3].rstrip().endswith("/"):
-                if lower is None:
-                    lower = source.lower()
-                close = lower.find("</" + name, at)
-                if close < 0:
+            if name in RAW and name not in unclosed and not found[3].rstrip().endswith("/"):
+                close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(source, at)
+                if close:
+                    at = after(">", close.end())
+                elif name in ("script", "style"):  # as browsers do: all that follows is its text
                     break
-                at = source.find(">", close) + 1 or end
+                else:
+                    unclosed.add(name)
+                continue
+            if name in LEFT_OUT and name not in unclosed and not found[3].rstrip().endswith("/"):
+                depth = 1
+                for tag in re.compile(f"<(/?){name}(?=[\\s/>])", re.I).finditer(source, at):
+                    depth += -1 if tag[1] else 1
+                    if not depth:
+                        at = after(">", tag.end())
+                        break
+                else:
+                    unclosed.add(name)
                 continue
             if name == "br":
                 fresh = self._text(open_tags[-1][1], " ", links, fresh)
@@ -136,7 +180,7 @@ class Page:
                             if (a or b or c).lower() != "false":
                                 hints.add(HINT_OF["hidden"])
                         else:
-                            hints.update(HINT_OF[w] for w in SPLIT.split((a or b or c).lower()) if w in HINT_OF)
+                            hints.update(kinds_in(a or b or c))
                     if "data-content=" in found[3]:
                         label = int('data-content="1"' in found[3])
                 up = open_tags[-1][1]
@@ -171,6 +215,11 @@ KIND = {t: 1 for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "p
 def features(page: Page) -> list[list[int]]:
     n = len(page.parent)
     place, out = [0] * n, []
+    # what holds the article, or the whole page, is no box, whatever its class says
+    holds = [tag in ("html", "body") for tag in page.tag]
+    for i in range(n - 1, 0, -1):
+        if page.tag[i] in ("article", "main") or holds[i]:
+            holds[page.parent[i]] = True
     for i in range(n):
         tag, up = page.tag[i], page.parent[i]
         own = place[up] if up >= 0 else 0
@@ -180,11 +229,12 @@ def features(page: Page) -> list[list[int]]:
             own |= 2
         elif tag == "header" and not own & 1:
             own |= 2
-        if not BOXES.isdisjoint(page.hints[i]):
+        hints = page.hints[i] - BOXES if holds[i] and HINT_OF["hidden"] not in page.hints[i] else page.hints[i]
+        if not BOXES.isdisjoint(hints):
             own |= 2
         place[i] = own
         f = [TAGS[tag], AT_PLACE + own, AT_BOTH + 4 * own + KIND.get(tag, 0)]
-        f.extend(AT_HINT + h for h in page.hints[i])
+        f.extend(AT_HINT + h for h in sorted(hints))
         if chars := page.chars[i]:
             f.append(AT_LINK + min(3, int(4 * page.linked[i] / chars)))
             f.append(AT_LENGTH + min(5, int(math.log10(chars) * 2)))
@@ -297,7 +347,8 @@ def labelled_pages(n: int = 80, seed: int = 7) -> list[str]:
         parts += [*(rng.choice(boxes)() for _ in range(rng.randint(0, 2))), f'<footer data-content="0"><p>{words(2, 12)}</p></footer>' if i % 2 else f'<footer data-content="0">&copy; {words(2, 12)}</footer>']
         if rng.random() < 0.4:
             parts = ['<div class="wrapper">', *parts, "</div>"]
-        out.append(f"<html><head><title>{words(1, 5)}</title></head><body>{''.join(parts)}</body></html>")
+        body_class = rng.choice(["", "", ' class="single has-sidebar"', ' class="post comments-open"', ' class="page no-sidebar"'])
+        out.append(f"<html><head><title>{words(1, 5)}</title></head><body{body_class}>{''.join(parts)}</body></html>")
     return out
 
 
@@ -327,13 +378,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
     """(page_id, url, text, n_chars) per page.
 
     NULL and empty pages, and pages without content, give the empty text;
-    broken markup is read as far as it goes.  Repeated rows give repeated rows.
+    broken markup is read as far as it goes, in time linear in the page's
+    length.  Repeated rows give repeated rows, an empty table none; other
+    columns are left out.
     """
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor = Extractor(model)
-        for batch in batches:
+        for batch in sliced(batches, source):
             texts = [extractor.text(x.as_py()) for x in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])

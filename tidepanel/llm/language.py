@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.chains import padded, viterbi
 
+from tidepanel.llm.common import sliced
+
 # --- fixed values: first and last code points of script blocks
 SCRIPTS = [
     ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
@@ -125,12 +127,17 @@ def train(texts: list[str], languages: list[str], penalty: float = 6.0) -> Langu
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = 6000, seed: int = 1) -> LanguageModel:
-    """Trains on at most about ``rows`` labelled rows, chosen by a hash of the text."""
+    """Trains on at most ``rows`` labelled rows, those of the least hash of the text.
+
+    A word counts up to 50 times for a language, and a word's weight grows with
+    its letters up to 12.  NULL texts and languages are no labelled rows.
+    """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     total = labelled.select("l").count()
     if total > rows:
-        share = F.pmod(F.xxhash64(F.lit(seed), "t"), F.lit(1_000_000))
-        labelled = labelled.where(share < int(1_000_000 * rows / total))
+        dice = F.pmod(F.xxhash64(F.lit(seed), "t"), F.lit(1_000_000))
+        some = labelled.where(dice < int(1_100_000 * rows / total) + 1)
+        labelled = some.orderBy(dice, "t", "l").limit(rows)  # copies of one text have one hash
     got = labelled.toArrow().to_pydict()
     pairs = sorted(zip(got["l"], got["t"], strict=True))
     return train([t for _, t in pairs], [str(k) for k, _ in pairs])
@@ -141,12 +148,13 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
 
     A span is (first word, words, language).  Texts that are NULL or have no
     letter are ``und`` with score 1 and no spans, as are all without a trained
-    language.  Ties go to the first language by name.
+    language.  Ties go to the first language by name.  Whole texts of any
+    length are read; repeated rows get equal results, an empty table none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
-        for batch in batches:
+        for batch in sliced(batches, text):
             n = batch.num_rows
             name, score, spans = ["und"] * n, [1.0] * n, [[] for _ in range(n)]
             if model.languages:

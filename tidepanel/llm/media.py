@@ -17,6 +17,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidepanel.llm.common import sliced
+
 # --- fixed values: signatures (bytes, offset of the signature in the file, format)
 SIGNATURES = [
     (b"\x89PNG\r\n\x1a\n", 0, "image/png"),
@@ -130,6 +132,11 @@ def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
     pos, seen = at, set()
     while pos + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, pos)
+        if size == 1 and pos + 16 <= len(b):  # the length follows in 64 bits
+            size = struct.unpack_from(">Q", b, pos + 8)[0]
+            size = size if size >= 16 else 0
+        elif size == 0:  # to the end
+            size = len(b) - pos
         if size < 8 or pos + size > len(b) or not kind.isalnum():
             break
         seen.add(kind)
@@ -213,24 +220,29 @@ def unwrap(kind: str, media: bytes) -> bytes:
 
 
 def sniff_column(df: DataFrame, data: str = "data", declared: str | None = None, types: str = "media") -> DataFrame:
-    """``df`` plus ``media``: array of (type, offset, length, bytes), and ``declared_ok``.
+    """``df`` plus ``media``: array of (type, offset, length, bytes) of all media found, ``declared_ok`` and ``corrected``.
 
     ``declared_ok`` tells whether the declared type is that of media at offset 0
-    (NULL without a declared type).  NULL and empty data give an empty array.
+    (NULL without a declared type); ``corrected`` is the type at offset 0, or
+    else the declared one.  NULL and empty data give an empty array.  Columns of
+    the three names are replaced; ``types`` must not name a column that is read.
     """
-    schema = f"{types} array<struct<type:string,offset:bigint,length:bigint,bytes:binary>>, declared_ok boolean"
-    fields = df.drop(types, "declared_ok")
+    if {types, "declared_ok", "corrected"} & {data, declared}:
+        raise ValueError(f"{types}, declared_ok and corrected are written: read data and declared types from other columns")
+    schema = f"{types} array<struct<type:string,offset:bigint,length:bigint,bytes:binary>>, declared_ok boolean, corrected string"
+    fields = df.drop(types, "declared_ok", "corrected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())]))
-        for batch in batches:
+        for batch in sliced(batches, data):
             values = batch.column(data).to_pylist()
             said = batch.column(declared).to_pylist() if declared else [None] * len(values)
             found = [sniff(v) for v in values]
             media = [[{"type": t, "offset": a, "length": n, "bytes": v[a : a + n]} for t, a, n in f] for v, f in zip(values, found, strict=True)]
             ok = [None if s is None else bool(f) and f[0][1] == 0 and f[0][0] == s for s, f in zip(said, found, strict=True)]
-            columns = [*batch.columns, pa.array(media, kind), pa.array(ok, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, types, "declared_ok"])
+            true = [f[0][0] if f and f[0][1] == 0 else s for s, f in zip(said, found, strict=True)]
+            columns = [*batch.columns, pa.array(media, kind), pa.array(ok, pa.bool_()), pa.array(true, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, types, "declared_ok", "corrected"])
 
     from pyspark.sql.types import StructType
 
@@ -241,11 +253,12 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Stores every text as media, sniffs the stored bytes and reads them back.
 
     Texts are UTF-8, NULL as empty, padded by NUL bytes to a positive multiple
-    of 64.  The declared type is left open; sniffing settles it.
+    of 64.  The declared type is left open; sniffing settles it.  Repeated rows
+    give equal results, an empty table none; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             out: list[list] = [[] for _ in range(7)]
             for value in batch.column(1):
                 raw = (value.as_py() or "").encode() if value.is_valid else b""

@@ -103,15 +103,13 @@ def mix_sources(
         )
     near = (F.col("need") > 0) & ((F.col("upto") - F.col("need")) <= (F.col("need") - F.col("below")))
     cut = state.select("key", "source_size", "target", "whole", (F.col("prefix") + near.cast("int")).alias("cut"))
-    clash = [c for c in ("size", "source_size", "target", "taken", "times") if c in docs.columns]
-    out = docs.drop(*clash).withColumns({"_key": key, "size": word_count(text), "_h": doc_hash(doc_id)})
-    out = out.join(held(cut.withColumnRenamed("key", "_key")), "_key")
-    times = F.col("whole") + (F.shiftright("_h", BITS - LEVEL * LEVELS) < F.col("cut")).cast("int")
-    return (
-        out.withColumn("times", times)
-        .withColumn("taken", F.col("times") * F.col("size"))
-        .drop("_key", "_h", "whole", "cut")
-    )
+    given = ("size", "source_size", "target", "taken", "times")
+    left = [c for c in docs.columns if c not in given]
+    row = F.struct(*[F.col(c) for c in left]).alias("row")  # so that no column of the documents clashes with those here
+    out = docs.select(row, key.alias("key"), word_count(text).alias("size"), doc_hash(doc_id).alias("h")).join(held(cut), "key")
+    times = F.col("whole") + (F.shiftright("h", BITS - LEVEL * LEVELS) < F.col("cut")).cast("int")
+    out = out.withColumn("times", times).withColumn("taken", F.col("times") * F.col("size"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in left], "size", "source_size", "target", "times", "taken")
 
 
 #: The same by a flat sort of hash prefixes.

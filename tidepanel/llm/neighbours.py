@@ -52,6 +52,7 @@ class VpTree:
         ends = np.append(starts[1:], len(ids))
         self.ids = [ids[a : min(b, a + copies)] for a, b in zip(starts, ends, strict=True)]
         self.vectors = vectors[starts]
+        self.slack = 1e-9 * longest
         lack = np.sqrt(np.maximum(longest * longest - (self.vectors**2).sum(axis=1), 0.0))
         self.points = np.column_stack([self.vectors, lack])
         self.order = np.arange(len(starts))
@@ -105,7 +106,7 @@ class VpTree:
                 (~first, out_gap, node.outside, in_gap, node.inside),
             ):
                 for g, part in ((gap, child), (other_gap, other)):
-                    reach = np.sqrt(np.maximum(best[active, k - 1], 0.0)) + 1e-9
+                    reach = np.sqrt(np.maximum(best[active, k - 1], 0.0)) + self.slack
                     keep = own & (g * factor <= reach)
                     if keep.any():
                         visit(part, active[keep])
@@ -138,11 +139,17 @@ def nearest(
     """
     spark = vectors.sparkSession
     kept = stored(usable(vectors, vec_id, embedding).distinct(), "nn-vectors")
-    facts = kept.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"))
-    n, most = facts.collect()[0]
+    facts = kept.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).alias("m"))
+    n, largest = facts.collect()[0]
     schema = "query_id bigint, qk bigint, vec_id bigint, score double"
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    # very large or small components are scaled by a power of two, which changes no digit, so that squares stay finite
+    power = int(np.frexp(largest)[1])
+    power = power if abs(power) > 300 else 0
+    if power:
+        kept = kept.withColumn("v", F.transform("v", lambda x: x * F.lit(2.0 ** -(power // 2)) * F.lit(2.0 ** -(power - power // 2))))
+    most = kept.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).collect()[0][0]
     longest = float(np.sqrt(most)) * (1 + 1e-12)
     shards = -(-n // shard)
     blocks = -(-n // (block * every))
@@ -175,7 +182,7 @@ def nearest(
                     continue
                 q = np.stack(own["v"].to_numpy()).astype(np.float64)
                 for qid, qk, vector, rows in zip(own["id"].tolist(), own["qk"].tolist(), q, vp.search(q, k + 1, factor), strict=True):
-                    exact = (vp.vectors[rows] * vector).sum(axis=1)
+                    exact = np.ldexp((vp.vectors[rows] * vector).sum(axis=1), 2 * power)
                     best = np.argsort(-exact, kind="stable")
                     got: list[tuple[float, int]] = []
                     for i in best.tolist():

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidepanel.llm.common import sliced
+
 #: Groups of bytes whose shares are features of a text.
 _CLASS = np.full(256, 7, dtype=np.int64)
 for _members, _k in ((b" \t\n\r\x0b\x0c", 0), (bytes(range(65, 91)), 1), (bytes(range(97, 123)), 2), (b"0123456789", 3), (b".,;:'\"-()?", 4), (b"!", 5), (bytes(range(128, 256)), 6)):
@@ -163,7 +165,7 @@ def featurize(docs: DataFrame, text: str = "text", source: str = "source", lang:
     extra = "quality_score double" if model else "xt array<double>, xm array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             xt = [text_features(x.as_py()) for x in batch.column(text)]
             columns = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in (source, lang, n_chars)]
             xm = [meta_features(*x) for x in zip(*columns, strict=True)]

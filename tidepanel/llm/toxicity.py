@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.chains import binary_marginals, padded
 
+from tidepanel.llm.common import sliced
+
 TOKENS = re.compile(r"\S+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 BUCKETS = 1 << 18
@@ -33,7 +35,7 @@ MARKED, SUPPORT = 2.5, 3
 
 def token_features(token: str) -> list[str]:
     """The word, and its first 3, 4, 5 and 6 letters."""
-    word = EDGES.sub("", token.lower())[:64]
+    word = EDGES.sub("", token.lower())
     return [f"={word}", *(f"{n}{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n)] if word else []
 
 
@@ -173,6 +175,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 60, window: int = 40
         if np.abs(step).max() < 1e-6:
             break
     model.scale, model.shift = float(scale), float(shift)
+    model._kept.clear()  # each task gets the model, not what training has looked up
     return model
 
 
@@ -180,6 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Trains on at most about ``rows`` labelled rows, half of them toxic if there are so many.
 
     Rows are chosen by a hash of the id; a NULL label or text is no labelled row.
+    The field is trained on windows of these texts (three around toxic tokens,
+    two elsewhere), the document score on whole texts.
     """
     marked = labels.where(F.col(toxic).isNotNull()).groupBy(doc_id).agg(F.max(toxic).alias("_y"))
     count = {bool(r["_y"]): r["n"] for r in marked.groupBy(F.col("_y") > 0).agg(F.count(F.lit(1)).alias("n")).toDF("_y", "n").collect()}
@@ -198,12 +203,14 @@ def score(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str
 
     A span is a run of tokens of marginal ``at`` or more, as offsets in code
     points.  NULL and empty texts get the score of a text without evidence.
+    Whole texts of any length are read; repeated rows get equal results, an
+    empty table gives none, other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         none = model.score(0.0)
-        for batch in batches:
+        for batch in sliced(batches, text):
             texts = batch.column(1).to_pylist()
             scores, spans = [none] * len(texts), [[] for _ in texts]
             for i, m in model.marginals(texts):
