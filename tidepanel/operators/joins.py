@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of both tables, each once; columns are matched by name."""
+    return a.unionByName(b).distinct()
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, forward: bool = True) -> DataFrame:
     """Each left row with the nearest right row of its key at or after it (before it, if not ``forward``).
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidepanel.functions.costs import CostModel
 from tidepanel.operators.cross_section import ratio
 
 
@@ -109,6 +110,22 @@ def relative_to_first(prices: DataFrame, price: str = "close") -> DataFrame:
     return prices.select("date", ratio(F.col(price), F.first(price).over(by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("value"))
 
 
+def net_returns(gross: DataFrame, moved: DataFrame, model: CostModel, value: float = 1.0) -> DataFrame:
+    """(date, gross_return, cost, net_return) under a cost model, for a portfolio worth ``value``; cost is a share of it."""
+    traded = F.abs(F.coalesce("turnover", F.lit(0.0))) * F.lit(float(value))
+    both = gross.join(moved, "date", "left").select("date", F.col("portfolio_return").alias("gross_return"), (model.cost(traded) / F.lit(float(value))).alias("cost"))
+    return both.withColumn("net_return", F.col("gross_return") - F.col("cost"))
+
+
+def half_years(daily: DataFrame, ret: str = "portfolio_return", periods: int = 252) -> DataFrame:
+    """(year, half, n, sharpe, total_return): how stable a portfolio is over sub-periods."""
+    r = F.col(ret)
+    half = F.ceil(F.month("date") / F.lit(6)).cast("int")
+    return daily.where(r.isNotNull()).groupBy(F.year("date").alias("year"), half.alias("half")).agg(
+        F.count(r).alias("n"), (ratio(F.avg(r), F.stddev_samp(r)) * F.sqrt(F.lit(float(periods)))).alias("sharpe"), (F.product(1 + r) - 1).alias("total_return"),
+    )
+
+
 def cost_curve(gross: DataFrame, moved: DataFrame, levels: tuple[float, ...] = (0, 1, 2, 5, 10, 15, 20, 30, 50, 75, 100), periods: int = 252) -> DataFrame:
     """Net Sharpe and annual return at each cost level; (date, portfolio_return) and (date, turnover) are aligned by date."""
     both = gross.join(moved, "date", "left").withColumn("bps", F.explode(F.array(*[F.lit(float(x)) for x in levels])))

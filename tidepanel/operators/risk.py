@@ -72,6 +72,33 @@ def moments(df: DataFrame, ret: str = "r", periods: int = 252) -> DataFrame:
     return row.withColumn("tail_ratio", F.when(left < 1e-10, float("inf")).otherwise(F.abs(F.get("_t", F.lit(1))) / left)).drop("_t")
 
 
+def at_least_two(df: DataFrame) -> DataFrame:
+    """A one-row table with ``n``, or the error of fewer than 2 finite returns."""
+    return df.withColumn("n", F.when(F.col("n") >= 2, F.col("n")).otherwise(F.raise_error(F.lit("at least 2 finite returns are needed")).cast("bigint")))
+
+
+def risk_summary(daily: DataFrame, ret: str = "r", date: str = "date", confidence: float = 0.95, periods: int = 252) -> DataFrame:
+    """Thirteen risk measures of a return series in one row; fewer than 2 finite returns are an error."""
+    row = at_least_two(moments(daily, ret, periods))
+    tail = tail_table(daily, (confidence,), ret).drop("confidence")
+    fall = drawdowns(daily, ret, date).agg((-F.min("drawdown")).alias("max_drawdown"))
+    out = row.crossJoin(F.broadcast(tail)).crossJoin(F.broadcast(fall))  # one row each
+    return out.select(
+        F.col("annual_mean").alias("mean_return"), F.col("annual_volatility").alias("volatility"), F.coalesce("sharpe", F.lit(0.0)).alias("sharpe"), "skewness",
+        F.col("kurtosis").alias("excess_kurtosis"), "var_historical", "var_parametric", "cvar_historical", "cvar_parametric", "var_ratio", "max_drawdown", "tail_ratio",
+        F.col("n").alias("n_observations"),
+    )
+
+
+def distribution_summary(df: DataFrame, ret: str = "r", levels: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:
+    """n, mean, deviation, shape, Jarque-Bera with its p, and the tail table as an array, in one row."""
+    row = at_least_two(moments(df, ret, 1)).select(
+        "n", F.col("annual_mean").alias("mean"), F.col("annual_volatility").alias("std"), "skewness", F.col("kurtosis").alias("excess_kurtosis"), "jarque_bera", "jarque_bera_p",
+    )
+    tail = tail_table(df, levels, ret)
+    return row.crossJoin(F.broadcast(tail.agg(F.sort_array(F.collect_list(F.struct(*tail.columns))).alias("tail"))))  # a row per level
+
+
 def qq_data(df: DataFrame, ret: str = "r") -> DataFrame:
     """(theoretical, sample): normal quantiles at (i - 0.5) / n against the standardised sorted sample."""
     w = Window.orderBy("r")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import costs
 from tidepanel.functions import factors as fac
 from tidepanel.operators import combination, dataprep, joins, portfolio, returns, risk, sizing, trades, validation
 from tidepanel.operators import cross_section as cs
+from tidepanel.operators import time_series as ts
 from tidepanel.plans import alpha
 from tidepanel.sources import panels
 
@@ -637,3 +638,58 @@ def strategy_backtest(spark: SparkSession, d: str) -> DataFrame:
     return trades.BbiBollStrategy(40, -0.01, 0.005).run(bars)[0]
 
 
+
+
+@query(wrap(f"{SIGNAL_W}, {PR}, {DATES}, {TURN}, c AS (SELECT pr.date, portfolio_return AS gross_return, CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE turnover END AS t FROM pr JOIN turn ON pr.date = turn.date), "
+            "k AS (SELECT date, gross_return, t * 0.0005::DOUBLE + t * 0.1::DOUBLE * 0.02::DOUBLE * sqrt(t * 1e7 / 5e7) AS cost FROM c)",
+            "SELECT *, gross_return - cost AS net_return FROM k", "date", "gross_return", "cost", "net_return"))
+def net_returns(spark: SparkSession, d: str) -> DataFrame:
+    model = costs.CompositeCost([costs.FixedCost(5), costs.SqrtImpactCost()])
+    return rounded(portfolio.net_returns(_daily(spark, d), portfolio.turnover(_weights(spark, d)), model, 1e7), "gross_return", "cost", "net_return")
+
+
+@query(wrap(f"{SIGNAL_W}, {PR}", "SELECT year(date)::INTEGER AS year, CASE WHEN month(date) <= 6 THEN 1 ELSE 2 END::INTEGER AS half, count(*) AS n, avg(portfolio_return) / nullif(stddev_samp(portfolio_return), 0) * sqrt(252.0::DOUBLE) AS sharpe, product(1 + portfolio_return) - 1 AS total_return FROM pr GROUP BY 1, 2", "year, half, n", "sharpe", "total_return"))
+def half_years(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(portfolio.half_years(_daily(spark, d)), "sharpe", "total_return")
+
+
+@query(wrap(f"{SIGNAL_W}, {PR}, m AS (SELECT year(date)::INTEGER AS year, month(date) AS month, product(1 + portfolio_return) - 1 AS ret FROM pr GROUP BY 1, 2)",
+            "SELECT year, " + ", ".join(f'max(ret) FILTER (month = {m}) AS "{m}"' for m in range(1, 13)) + " FROM m GROUP BY year", "year", *(f'"{m}"' for m in range(1, 13))))
+def monthly_table(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(portfolio.monthly_table(_daily(spark, d)), *map(str, range(1, 13)))
+
+
+RISK = ("mean_return", "volatility", "sharpe", "skewness", "excess_kurtosis", "var_historical", "var_parametric", "cvar_historical", "cvar_parametric", "var_ratio", "max_drawdown", "tail_ratio")
+_Z, _H = risk.NORMAL.inv_cdf(1 - 0.95), risk.NORMAL.pdf(risk.NORMAL.inv_cdf(1 - 0.95)) / (1 - 0.95)
+
+
+@query(wrap(f"""{SIGNAL_W}, {PR}, e AS (SELECT date, product(1 + portfolio_return) OVER (ORDER BY date) AS e FROM pr), g AS (SELECT e / max(e) OVER (ORDER BY date) - 1 AS dd FROM e),
+m AS (SELECT count(*) AS n_observations, avg(portfolio_return) AS a, stddev_samp(portfolio_return) AS s, skewness(portfolio_return) AS skewness, kurtosis(portfolio_return) AS excess_kurtosis, quantile_cont(portfolio_return, 0.05::DOUBLE) AS lo, quantile_cont(portfolio_return, 0.95::DOUBLE) AS hi FROM pr)""",
+            f"""SELECT n_observations, a * 252 AS mean_return, s * sqrt(252.0::DOUBLE) AS volatility, a / s * sqrt(252.0::DOUBLE) AS sharpe, skewness, excess_kurtosis, -lo AS var_historical, -(a + {_Z!r}::DOUBLE * s) AS var_parametric,
+  (SELECT -avg(portfolio_return) FROM pr WHERE portfolio_return <= lo) AS cvar_historical, -(a - s * {_H!r}::DOUBLE) AS cvar_parametric, -lo / nullif(-(a + {_Z!r}::DOUBLE * s), 0) AS var_ratio, (SELECT -min(dd) FROM g) AS max_drawdown, abs(hi) / abs(lo) AS tail_ratio FROM m""", "n_observations", *RISK))
+def risk_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(risk.risk_summary(_daily(spark, d), "portfolio_return"), *RISK)
+
+
+SHAPE = ("mean", "std", "skewness", "excess_kurtosis", "jarque_bera", "jarque_bera_p")
+
+
+@query(wrap(f"""{SIGNAL_W}, {PR}, m AS (SELECT count(*) AS n, avg(portfolio_return) AS mean, stddev_samp(portfolio_return) AS std, skewness(portfolio_return) AS skewness, kurtosis(portfolio_return) AS excess_kurtosis FROM pr),
+p AS (SELECT *, skewness * (n - 2) / sqrt(n * (n - 1.0::DOUBLE)) AS b1, (excess_kurtosis * (n - 2) * (n - 3) / (n - 1) - 6) / (n + 1) AS b2 FROM m), j AS (SELECT *, n / 6.0::DOUBLE * (b1 * b1 + b2 * b2 / 4) AS jarque_bera FROM p)""",
+            "SELECT *, exp(-jarque_bera / 2) AS jarque_bera_p FROM j", "n", *SHAPE))
+def distribution_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(risk.distribution_summary(_daily(spark, d), "portfolio_return").drop("tail"), *SHAPE)
+
+
+@query(wrap(f"{BARS_W}, x AS (SELECT ticker, date, close, list(close) OVER w AS v, min(close) OVER w AS least, count(*) OVER w AS n, lag(close, 1) OVER o AS c1, lag(close, 2) OVER o AS c2, lag(close, 3) OVER o AS c3, lag(close, 4) OVER o AS c4 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING), o AS (PARTITION BY ticker ORDER BY date))",
+            "SELECT ticker, date, CASE WHEN n = 5 THEN (list_position(v, least) - 1)::DOUBLE END AS argmin, CASE WHEN n = 5 THEN len(list_filter(v, a -> a <= close)) / 5.0::DOUBLE END AS rank, CASE WHEN n = 5 THEN (5 * close + 4 * c1 + 3 * c2 + 2 * c3 + c4) / 15.0::DOUBLE END AS decay FROM x", "ticker, date", "argmin", "rank", "decay"))
+def rolling_places(spark: SparkSession, d: str) -> DataFrame:
+    w, x = Window.partitionBy("ticker").orderBy("date").rowsBetween(-4, 0), F.col("close")
+    bars = panels.weekly_bars(spark, d)
+    return rounded(bars.select("ticker", "date", ts.ts_argmin(x, 5, w).alias("argmin"), ts.ts_rank(x, 5, w).alias("rank"), ts.decay_linear(x, 5, w).alias("decay")), "argmin", "rank", "decay")
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(spark: SparkSession, d: str) -> DataFrame:
+    customers, suppliers = panels.table(spark, d, "customer"), panels.table(spark, d, "supplier")
+    return joins.union_distinct(customers.select(F.col("c_nationkey").alias("nationkey")), suppliers.select(F.col("s_nationkey").alias("nationkey")))
