@@ -681,8 +681,8 @@ def distribution_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(risk.distribution_summary(_daily(spark, d), "portfolio_return").drop("tail"), *SHAPE)
 
 
-@query(wrap(f"{BARS_W}, x AS (SELECT ticker, date, close, list(close) OVER w AS v, min(close) OVER w AS least, count(*) OVER w AS n, lag(close, 1) OVER o AS c1, lag(close, 2) OVER o AS c2, lag(close, 3) OVER o AS c3, lag(close, 4) OVER o AS c4 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING), o AS (PARTITION BY ticker ORDER BY date))",
-            "SELECT ticker, date, CASE WHEN n = 5 THEN (list_position(v, least) - 1)::DOUBLE END AS argmin, CASE WHEN n = 5 THEN len(list_filter(v, a -> a <= close)) / 5.0::DOUBLE END AS rank, CASE WHEN n = 5 THEN (5 * close + 4 * c1 + 3 * c2 + 2 * c3 + c4) / 15.0::DOUBLE END AS decay FROM x", "ticker, date", "argmin", "rank", "decay"))
+@query(wrap(f"{BARS_W}, x AS (SELECT ticker, date, close, list(close) OVER w AS v, min(close) OVER w AS low, count(*) OVER w AS n, lag(close, 1) OVER o AS c1, lag(close, 2) OVER o AS c2, lag(close, 3) OVER o AS c3, lag(close, 4) OVER o AS c4 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING), o AS (PARTITION BY ticker ORDER BY date))",
+            "SELECT ticker, date, CASE WHEN n = 5 THEN (list_position(v, low) - 1)::DOUBLE END AS argmin, CASE WHEN n = 5 THEN (1 + (c1 <= close)::INTEGER + (c2 <= close)::INTEGER + (c3 <= close)::INTEGER + (c4 <= close)::INTEGER) / 5.0::DOUBLE END AS rank, CASE WHEN n = 5 THEN (5 * close + 4 * c1 + 3 * c2 + 2 * c3 + c4) / 15.0::DOUBLE END AS decay FROM x", "ticker, date", "argmin", "rank", "decay"))
 def rolling_places(spark: SparkSession, d: str) -> DataFrame:
     w, x = Window.partitionBy("ticker").orderBy("date").rowsBetween(-4, 0), F.col("close")
     bars = panels.weekly_bars(spark, d)
