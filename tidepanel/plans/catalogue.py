@@ -91,6 +91,13 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
+def folds_sql(train: int, test: int, embargo: int) -> str:
+    """Folds over the numbered dates ``dd`` and their parts ``p``, as half-open ranges."""
+    t, e = f"i * {test} + {train + embargo}", f"least(i * {test} + {train + embargo + test}, n)"
+    return f"""f AS (SELECT i::INTEGER AS fold, {t} AS t, {e} AS e FROM range(10000) r(i), (SELECT count(*) AS n FROM dd) WHERE {t} < n AND {e} - ({t}) >= {max(1, test // 2)}),
+p AS (SELECT fold, 'is' AS split, t - {train + embargo} AS a, t - {embargo} AS b FROM f UNION ALL SELECT fold, 'oos', t, e FROM f)"""
+
+
 def wrap(ctes: str, body: str, keep: str, *columns: str) -> str:
     return f"WITH {ctes} SELECT {keep}{', ' if keep and columns else ''}{', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in columns)} FROM ({body})"
 
@@ -477,8 +484,7 @@ def sharpe_error(spark: SparkSession, d: str) -> DataFrame:
     return rounded(validation.sharpe_statistics(_daily(spark, d)), "sharpe", "se")
 
 
-@query(f"""WITH {BARS_W}, dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bars)), f AS (SELECT i::INTEGER AS fold, i * 26 + 52 + 2 AS t FROM range(6) r(i)),
-p AS (SELECT fold, 'is' AS split, t - 2 - 52 AS a, t - 2 AS b FROM f UNION ALL SELECT fold, 'oos', t, t + 26 FROM f)
+@query(f"""WITH {BARS_W}, dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bars)), {folds_sql(52, 26, 2)}
 SELECT bars.date, ticker, close, fold, split FROM bars JOIN dd ON bars.date = dd.date JOIN p ON i >= a AND i < b""")
 def walkforward_panel(spark: SparkSession, d: str) -> DataFrame:
     bars = panels.weekly_bars(spark, d)
@@ -525,7 +531,7 @@ def split_adjust(spark: SparkSession, d: str) -> DataFrame:
     return dataprep.adjust_splits(panels.weekly_bars(spark, d), splits)
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey::VARCHAR AS t, 'n' || (c_custkey // 3) AS f FROM customer WHERE c_custkey <= 300 UNION ALL SELECT c_custkey::VARCHAR, 'm' || (c_custkey % 97) FROM customer WHERE c_custkey % 4 = 0 AND c_custkey <= 300),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey::VARCHAR AS t, 'n' || (c_custkey // 3) AS f FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'm' || (c_custkey % 97) FROM customer WHERE c_custkey % 4 = 0),
 p AS (SELECT DISTINCT a.t AS u, b.t AS v FROM e a JOIN e b ON a.f = b.f), r AS (SELECT u, v FROM p UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u)
 SELECT u AS ticker, min(v) AS group_id FROM r GROUP BY u""")
 def identity_groups(spark: SparkSession, d: str) -> DataFrame:
