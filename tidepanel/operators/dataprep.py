@@ -176,6 +176,16 @@ def restart_date(history: DataFrame, default: str) -> DataFrame:
     return history.where("status = 'ongoing'").agg(F.coalesce(F.min("period_start"), F.lit(default).cast("date")).alias("start"))
 
 
+def low_volume_summary(periods: DataFrame, bars: DataFrame, threshold: float) -> DataFrame:
+    """Each ticker's longest low-volume run (the latest of equal ones) and its mean turnover, whole, on its other bars."""
+    longest = F.max_by(F.struct("duration_days", "period_start", "period_end"), F.struct("duration_days", "period_end"))
+    runs = periods.groupBy("ticker").agg(longest.alias("m"))
+    traded = bars.where(F.col("volume") > F.lit(threshold)).groupBy("ticker").agg(F.avg(F.col("close") * F.col("volume")).cast("bigint").alias("avg_turnover"))
+    return runs.join(traded, "ticker", "left").select(
+        "ticker", F.col("m.duration_days").alias("max_duration_days"), F.col("m.period_start").alias("max_duration_start_date"), F.col("m.period_end").alias("max_duration_end_date"), "avg_turnover",
+    )
+
+
 def exclude_low_volume(bars: DataFrame, periods: DataFrame, max_days: int = 50, min_turnover: float = 60_000.0) -> DataFrame:
     """Bars without tickers that had a longer low-volume run or a lower mean turnover."""
     long = periods.where(F.col("duration_days") > max_days).select("ticker")

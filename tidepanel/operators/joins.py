@@ -11,6 +11,16 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def intersect_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows that both tables have; columns are matched by name."""
+    return a.intersect(b.select(*a.columns))
+
+
+def except_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows of ``a`` that ``b`` lacks; columns are matched by name."""
+    return a.subtract(b.select(*a.columns))
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, forward: bool = True) -> DataFrame:
     """Each left row with the nearest right row of its key at or after it (before it, if not ``forward``).
 

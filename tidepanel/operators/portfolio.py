@@ -10,21 +10,21 @@ from tidepanel.functions.costs import CostModel
 from tidepanel.operators.cross_section import ratio
 
 
-def by_date() -> WindowSpec:
-    """Over one row per date."""
-    return Window.orderBy("date")
+def by_date(part: str | None = None) -> WindowSpec:
+    """Over one row per date; over those of each ``part`` (a column or field), if one is named."""
+    return (Window.partitionBy(part) if part else Window).orderBy("date")
 
 
-def so_far() -> WindowSpec:
-    return by_date().rowsBetween(Window.unboundedPreceding, 0)
+def so_far(part: str | None = None) -> WindowSpec:
+    return by_date(part).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def resample_weights(weights: DataFrame, every: int = 5) -> DataFrame:
-    """Keeps the weights of every n-th date and repeats them until the next."""
+def resample_weights(weights: DataFrame, every: int = 5, part: str | None = None) -> DataFrame:
+    """Keeps the weights of every n-th date (of each part) and repeats them until the next."""
     if every <= 1:
         return weights
-    dates = weights.select("date").distinct().withColumn("i", F.row_number().over(by_date()) - 1)
-    base = F.last(F.when(F.col("i") % every == 0, F.col("date")), ignorenulls=True).over(so_far())
+    dates = weights.select("date").distinct().withColumn("i", F.row_number().over(by_date(part)) - 1)
+    base = F.last(F.when(F.col("i") % every == 0, F.col("date")), ignorenulls=True).over(so_far(part))
     mapping = dates.select(F.col("date").alias("to"), base.alias("date"))
     return weights.join(mapping, "date").select(F.col("to").alias("date"), "ticker", "weight")
 
@@ -34,13 +34,13 @@ def portfolio_return(weights: DataFrame, returns: DataFrame, ret: str = "next_da
     return joined.groupBy("date").agg(F.sum(F.col("weight") * F.col(ret)).alias("portfolio_return"))
 
 
-def turnover(weights: DataFrame, first_zero: bool = False) -> DataFrame:
-    """Half the sum of absolute weight changes per date, without the first date (or with 0 there).
+def turnover(weights: DataFrame, first_zero: bool = False, part: str | None = None) -> DataFrame:
+    """Half the sum of absolute weight changes per date, without the first date of each part (or with 0 there).
 
     Each weight counts for its date and, negated, for the next; one
     aggregation replaces the comparison of days.
     """
-    dates = weights.select("date").distinct().select("date", F.lead("date").over(by_date()).alias("next"), F.row_number().over(by_date()).alias("i"))
+    dates = weights.select("date").distinct().select("date", F.lead("date").over(by_date(part)).alias("next"), F.row_number().over(by_date(part)).alias("i"))
     now = F.struct(F.col("date").alias("d"), F.col("weight").alias("w"))
     then = F.struct(F.col("next").alias("d"), (-F.col("weight")).alias("w"))
     moves = weights.join(dates, "date").select("ticker", F.explode(F.array(now, then)).alias("m"))
@@ -60,26 +60,27 @@ def weight_diagnostics(weights: DataFrame) -> DataFrame:
     )
 
 
-def equity(ret: str = "portfolio_return") -> Column:
-    return F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(so_far())
+def equity(ret: str = "portfolio_return", part: str | None = None) -> Column:
+    return F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(so_far(part))
 
 
-def track(weights: DataFrame, returns: DataFrame, cost_bps: float = 0.0, ret: str = "next_day_return") -> DataFrame:
+def track(weights: DataFrame, returns: DataFrame, cost_bps: float = 0.0, ret: str = "next_day_return", part: str | None = None) -> DataFrame:
     """Daily portfolio: gross and net return, turnover, equity and position counts."""
     w = F.col("weight")
     daily = weights.join(returns, ["date", "ticker"], "left").groupBy("date").agg(
         F.sum(w * F.col(ret)).alias("gross_return"), F.sum((F.abs(w) > 1e-8).cast("int")).alias("n_positions"),
         F.sum((w > 1e-8).cast("int")).alias("n_long"), F.sum((w < -1e-8).cast("int")).alias("n_short"),
     ).where("gross_return is not null")
-    daily = daily.join(turnover(weights, first_zero=True), "date")
+    daily = daily.join(turnover(weights, first_zero=True, part=part), "date")
     daily = daily.withColumn("cost", F.col("turnover") * F.lit(cost_bps / 1e4)).withColumn("portfolio_return", F.col("gross_return") - F.col("cost"))
-    return daily.withColumn("equity_curve", equity())
+    return daily.withColumn("equity_curve", equity(part=part))
 
 
-def performance(daily: DataFrame, periods: int = 252, ddof: int = 0) -> DataFrame:
+def performance(daily: DataFrame, periods: int = 252, ddof: int = 0, benchmark: DataFrame | None = None) -> DataFrame:
     """Total and annual return, volatility, Sharpe, Sortino, Calmar, Omega, drawdown and its longest run, as one row.
 
-    ``ddof`` 0 is the analyser's convention, 1 the pipeline's.
+    ``ddof`` 0 is the analyser's convention, 1 the pipeline's.  A ``benchmark`` (date, value) adds its return
+    between the first and the last date that both have, and the excess of the portfolio's total return over it.
     """
     curve = daily.withColumn("e", equity()).withColumn("peak", F.max("e").over(so_far()))
     curve = curve.withColumns({"dd": F.col("e") / F.col("peak") - 1, "run": F.sum((F.col("e") >= F.col("peak")).cast("int")).over(so_far())})
@@ -94,7 +95,11 @@ def performance(daily: DataFrame, periods: int = 252, ddof: int = 0) -> DataFram
         (ratio(F.avg(r), std) * F.sqrt(year)).alias("sharpe"), (ratio(F.avg(r), down) * F.sqrt(year)).alias("sortino"),
         (-F.min("dd")).alias("max_drawdown"), ratio(F.sum(F.greatest(r, F.lit(0.0))), F.sum(F.greatest(-r, F.lit(0.0)))).alias("omega"),
     )
-    return row.withColumn("calmar", ratio(F.col("annual_return"), F.col("max_drawdown"))).crossJoin(longest)
+    row = row.withColumn("calmar", ratio(F.col("annual_return"), F.col("max_drawdown"))).crossJoin(longest)
+    if benchmark is None:
+        return row
+    own = daily.select("date").join(benchmark, "date").agg((ratio(F.max_by("value", "date"), F.min_by("value", "date")) - 1).alias("benchmark_return"))
+    return row.crossJoin(own).withColumn("excess_return", F.col("total_return") - F.col("benchmark_return"))  # one row each
 
 
 def monthly_returns(daily: DataFrame) -> DataFrame:

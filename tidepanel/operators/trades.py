@@ -79,6 +79,15 @@ def position_status(positions: DataFrame) -> DataFrame:
     return out.withColumns({"status": F.when(gone, "Delisted").otherwise("Active"), "hold_days": F.datediff(end, "buy_date")})
 
 
+def status_counts(positions: DataFrame, by: str = "backtest_date") -> DataFrame:
+    """Per date: positions, those active and delisted, and their mean days held."""
+    status = position_status(positions)
+    gone = F.col("status") == "Delisted"
+    return status.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_positions"), F.count(F.when(~gone, 1)).alias("n_active"), F.count(F.when(gone, 1)).alias("n_delisted"), F.avg("hold_days").alias("avg_hold_days"),
+    )
+
+
 class Strategy(ABC):
     """Indicators -> signals -> trades -> daily portfolio, always of one shape; optionally over a risk-free rate."""
 

@@ -65,6 +65,14 @@ def split_by_folds(panel: DataFrame, folds: DataFrame) -> DataFrame:
     return panel.join(placed, "date")
 
 
+def fold_dates(panel: DataFrame, folds: DataFrame) -> DataFrame:
+    """Each fold's first and last dates in and out of sample, and its numbers of dates."""
+    placed = split_by_folds(panel.select("date").distinct(), folds).groupBy("fold")
+    spans = [f(F.when(F.col("split") == split, F.col("date"))).alias(f"{name}_{end}") for split, name in (("is", "train"), ("oos", "test")) for f, end in ((F.min, "start"), (F.max, "end"))]
+    sizes = [F.count(F.when(F.col("split") == split, 1)).alias(f"{name}_size") for split, name in (("is", "train"), ("oos", "test"))]
+    return placed.agg(*spans, *sizes)
+
+
 def bootstrap_sharpe(daily: DataFrame, ret: str = "portfolio_return", n_boot: int = 10_000, block: int = 5, seed: int = 42, periods: int = 252, level: float = 0.95) -> DataFrame:
     """Sharpe ratio, bootstrap error and percentile interval by circular blocks; each replicate has its own seed."""
     spark = daily.sparkSession

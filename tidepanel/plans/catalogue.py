@@ -13,7 +13,7 @@ from tidepanel.operators import combination, dataprep, joins, portfolio, returns
 from tidepanel.operators import cross_section as cs
 from tidepanel.operators import time_series as ts
 from tidepanel.plans import alpha
-from tidepanel.sources import panels
+from tidepanel.sources import files, panels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -363,10 +363,13 @@ def size_vol_target(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sizing.size_volatility_target(_momentum(spark, d, bars), sizing.realized_volatility(bars), 5, 5), "weight")
 
 
-@query(wrap(f"""{BARS_W}, {RET}, {mom()}, zz AS (SELECT *, (value - avg(value) OVER (PARTITION BY date)) / nullif(stddev_samp(value) OVER (PARTITION BY date), 0) AS z FROM sig), {sides('zz')},
+SIGNAL_SIZED = f"""zz AS (SELECT *, (value - avg(value) OVER (PARTITION BY date)) / nullif(stddev_samp(value) OVER (PARTITION BY date), 0) AS z FROM sig), {sides('zz')},
 v AS (SELECT date, ticker, CASE WHEN count(daily_return) OVER l = 60 THEN var_samp(daily_return) OVER l END AS var FROM ret WINDOW l AS (PARTITION BY ticker ORDER BY date ROWS 59 PRECEDING)),
 r AS (SELECT sd.date, sd.ticker, side * abs(z) / var AS raw FROM sd JOIN v ON sd.date = v.date AND sd.ticker = v.ticker WHERE side <> 0 AND var > 0 AND z IS NOT NULL),
-g AS (SELECT date, ticker, least(greatest(raw / nullif(sum(abs(raw)) OVER (PARTITION BY date), 0), -0.1::DOUBLE), 0.1::DOUBLE) AS weight FROM r)""", "SELECT * FROM g WHERE abs(weight) > 1e-10", "date, ticker", "weight"))
+g AS (SELECT date, ticker, least(greatest(raw / nullif(sum(abs(raw)) OVER (PARTITION BY date), 0), -0.1::DOUBLE), 0.1::DOUBLE) AS weight FROM r)"""
+
+
+@query(wrap(f"{BARS_W}, {RET}, {mom()}, {SIGNAL_SIZED}", "SELECT * FROM g WHERE abs(weight) > 1e-10", "date, ticker", "weight"))
 def size_signal(spark: SparkSession, d: str) -> DataFrame:
     bars = panels.weekly_bars(spark, d)
     return rounded(sizing.size_signal_weighted(_momentum(spark, d, bars), returns.daily_returns(bars), 5, 5), "weight")
@@ -388,9 +391,10 @@ def weight_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(portfolio.weight_diagnostics(_weights(spark, d)), "net", "gross", "long", "short", "max_weight")
 
 
-TRACK = f"""{SIGNAL_W}, {PR}, {DATES}, {TURN}, tr AS (SELECT pr.date, pr.portfolio_return AS gross_return, CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE turnover END AS turnover, pr.portfolio_return - CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE turnover END * 0.0005::DOUBLE AS portfolio_return,
+TRACK_TAIL = f"""{PR}, {DATES}, {TURN}, tr AS (SELECT pr.date, pr.portfolio_return AS gross_return, CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE turnover END AS turnover, pr.portfolio_return - CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE turnover END * 0.0005::DOUBLE AS portfolio_return,
   n_positions, n_long, n_short FROM pr JOIN turn ON pr.date = turn.date JOIN (SELECT date, count(*) AS n_positions, count(*) FILTER (weight > 1e-8) AS n_long, count(*) FILTER (weight < -1e-8) AS n_short FROM w GROUP BY date) c ON c.date = pr.date),
 eq AS (SELECT *, product(1 + portfolio_return) OVER (ORDER BY date) AS e FROM tr)"""
+TRACK = f"{SIGNAL_W}, {TRACK_TAIL}"
 
 
 @query(wrap(TRACK, "SELECT *, e AS equity_curve, turnover * 0.0005::DOUBLE AS cost FROM eq", "date, n_positions, n_long, n_short", "gross_return", "turnover", "cost", "portfolio_return", "equity_curve"))
@@ -401,11 +405,18 @@ def tracker(spark: SparkSession, d: str) -> DataFrame:
 PERFORMANCE = ("total_return", "annual_return", "annual_volatility", "sharpe", "sortino", "max_drawdown", "omega", "calmar")
 
 
-@query(wrap(f"""{TRACK}, dn AS (SELECT *, max(e) OVER (ORDER BY date) AS peak FROM eq), dx AS (SELECT *, e / peak - 1 AS dd, sum((e >= peak)::INTEGER) OVER (ORDER BY date) AS run FROM dn),
+def performance_sql(eq: str = "eq") -> str:
+    """Common tables that end in ``p``, and the row selected from it, for (date, portfolio_return, e)."""
+    return f"""dn AS (SELECT *, max(e) OVER (ORDER BY date) AS peak FROM {eq}), dx AS (SELECT *, e / peak - 1 AS dd, sum((e >= peak)::INTEGER) OVER (ORDER BY date) AS run FROM dn),
 p AS (SELECT min(date) AS start, max(date) AS "end", count(*) AS n, arg_max(e, date) - 1 AS total_return, avg(portfolio_return) * 252 AS annual_return, stddev_pop(portfolio_return) * sqrt(252.0::DOUBLE) AS annual_volatility,
   avg(portfolio_return) / stddev_pop(portfolio_return) * sqrt(252.0::DOUBLE) AS sharpe, avg(portfolio_return) / stddev_pop(CASE WHEN portfolio_return < 0 THEN portfolio_return END) * sqrt(252.0::DOUBLE) AS sortino,
-  -min(dd) AS max_drawdown, sum(greatest(portfolio_return, 0.0)) / nullif(sum(greatest(-portfolio_return, 0.0)), 0) AS omega FROM dx)""",
-            "SELECT *, annual_return / nullif(max_drawdown, 0) AS calmar, (SELECT coalesce(max(c), 0) FROM (SELECT count(*) AS c FROM dx WHERE dd < 0 GROUP BY run)) AS max_drawdown_days FROM p", 'start, "end", n, max_drawdown_days', *PERFORMANCE))
+  -min(dd) AS max_drawdown, sum(greatest(portfolio_return, 0.0)) / nullif(sum(greatest(-portfolio_return, 0.0)), 0) AS omega FROM dx)"""
+
+
+PERFORMED = "SELECT *, annual_return / nullif(max_drawdown, 0) AS calmar, (SELECT coalesce(max(c), 0) FROM (SELECT count(*) AS c FROM dx WHERE dd < 0 GROUP BY run)) AS max_drawdown_days FROM p"
+
+
+@query(wrap(f"{TRACK}, {performance_sql()}", PERFORMED, 'start, "end", n, max_drawdown_days', *PERFORMANCE))
 def perf_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(portfolio.performance(portfolio.track(_weights(spark, d), _next(spark, d), 5.0)), *PERFORMANCE)
 
@@ -556,7 +567,10 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALTERNATE = f"alt AS (SELECT ticker, date, CASE WHEN i % 14 = 1 THEN 1 WHEN i % 14 = 8 THEN -1 END AS signal FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM bars))"
-TRADES = f"{BARS_W}, {ALTERNATE}, tr AS (SELECT b.ticker, b.date AS buy_date, s.date AS sell_date FROM (SELECT * FROM alt WHERE signal = 1) b ASOF LEFT JOIN (SELECT * FROM alt WHERE signal = -1) s ON b.ticker = s.ticker AND b.date <= s.date), tt AS (SELECT tr.*, p.close AS buy_price, q.open AS sell_open, q.open / p.close - 1 AS ret FROM tr JOIN bars p ON p.ticker = tr.ticker AND p.date = tr.buy_date LEFT JOIN bars q ON q.ticker = tr.ticker AND q.date = tr.sell_date)"
+TRADES_TAIL = "tr AS (SELECT b.ticker, b.date AS buy_date, s.date AS sell_date FROM (SELECT * FROM alt WHERE signal = 1) b ASOF LEFT JOIN (SELECT * FROM alt WHERE signal = -1) s ON b.ticker = s.ticker AND b.date <= s.date), tt AS (SELECT tr.*, p.close AS buy_price, q.open AS sell_open, q.open / p.close - 1 AS ret FROM tr JOIN bars p ON p.ticker = tr.ticker AND p.date = tr.buy_date LEFT JOIN bars q ON q.ticker = tr.ticker AND q.date = tr.sell_date)"
+TRADES = f"{BARS_W}, {ALTERNATE}, {TRADES_TAIL}"
+HELD = """h AS (SELECT bars.date, bars.close / lag(bars.close) OVER (PARTITION BY tt.ticker, buy_date ORDER BY bars.date) - 1 AS r FROM tt JOIN bars ON bars.ticker = tt.ticker AND bars.date BETWEEN buy_date AND coalesce(sell_date, DATE '9999-12-31')), hg AS (SELECT date, count(*) AS n, avg(r) AS a FROM h WHERE r IS NOT NULL GROUP BY date),
+hd AS (SELECT c.date, coalesce(n, 0) AS n_positions, coalesce(a, 0) AS portfolio_return FROM (SELECT DISTINCT date FROM bars) c LEFT JOIN hg ON hg.date = c.date)"""
 
 
 def _trades(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -581,19 +595,22 @@ def trade_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trades.trade_statistics(_trades(spark, d)[0]), *TRADE_STATS)
 
 
-@query(wrap(f"{TRADES}, h AS (SELECT bars.date, bars.close / lag(bars.close) OVER (PARTITION BY tt.ticker, buy_date ORDER BY bars.date) - 1 AS r FROM tt JOIN bars ON bars.ticker = tt.ticker AND bars.date BETWEEN buy_date AND coalesce(sell_date, DATE '9999-12-31')), g AS (SELECT date, count(*) AS n, avg(r) AS a FROM h WHERE r IS NOT NULL GROUP BY date)",
-            "SELECT c.date, coalesce(n, 0) AS n_positions, coalesce(a, 0) AS portfolio_return FROM (SELECT DISTINCT date FROM bars) c LEFT JOIN g ON g.date = c.date", "date, n_positions", "portfolio_return"))
+@query(wrap(f"{TRADES}, {HELD}", "SELECT * FROM hd", "date, n_positions", "portfolio_return"))
 def daily_holdings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trades.daily_holdings(*_trades(spark, d)), "portfolio_return")
 
 
-@query(f"""WITH RECURSIVE {BARS_W}, {BBI}, dp AS (SELECT ticker, date, open, close, i, CASE WHEN dev IS NOT NULL AND i >= 50 THEN (SELECT count(*) FROM dv e WHERE e.ticker = dv.ticker AND e.i BETWEEN dv.i - 251 AND dv.i AND e.dev <= dv.dev) END AS dev_pct FROM dv),
+def machine_sql(dev: int, stop: float, take: float) -> str:
+    sell = f"((o.open / m.held - 1 < {stop}::DOUBLE AND o.dev_pct > {dev}) OR o.open / m.held - 1 > {take}::DOUBLE)"
+    return f"""{BARS_W}, {BBI}, dp AS (SELECT ticker, date, open, close, i, CASE WHEN dev IS NOT NULL AND i >= 50 THEN (SELECT count(*) FROM dv e WHERE e.ticker = dv.ticker AND e.i BETWEEN dv.i - 251 AND dv.i AND e.dev <= dv.dev) END AS dev_pct FROM dv),
 o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM dp WHERE dev_pct IS NOT NULL),
-m AS (SELECT ticker, date, k, CASE WHEN dev_pct <= 40 THEN 1 END AS signal, CASE WHEN dev_pct <= 40 THEN close END AS held FROM o WHERE k = 1
-  UNION ALL SELECT o.ticker, o.date, o.k, CASE WHEN m.held IS NULL AND o.dev_pct <= 40 THEN 1 WHEN m.held IS NOT NULL AND ((o.open / m.held - 1 < -0.01::DOUBLE AND o.dev_pct > 40) OR o.open / m.held - 1 > 0.005::DOUBLE) THEN -1 END,
-   CASE WHEN m.held IS NULL AND o.dev_pct <= 40 THEN o.close WHEN m.held IS NOT NULL AND ((o.open / m.held - 1 < -0.01::DOUBLE AND o.dev_pct > 40) OR o.open / m.held - 1 > 0.005::DOUBLE) THEN NULL ELSE m.held END
-  FROM m JOIN o ON o.ticker = m.ticker AND o.k = m.k + 1)
-SELECT ticker, date, signal::INTEGER AS signal FROM m WHERE signal IS NOT NULL""")
+m AS (SELECT ticker, date, k, CASE WHEN dev_pct <= {dev} THEN 1 END AS signal, CASE WHEN dev_pct <= {dev} THEN close END AS held FROM o WHERE k = 1
+  UNION ALL SELECT o.ticker, o.date, o.k, CASE WHEN m.held IS NULL AND o.dev_pct <= {dev} THEN 1 WHEN m.held IS NOT NULL AND {sell} THEN -1 END,
+   CASE WHEN m.held IS NULL AND o.dev_pct <= {dev} THEN o.close WHEN m.held IS NOT NULL AND {sell} THEN NULL ELSE m.held END
+  FROM m JOIN o ON o.ticker = m.ticker AND o.k = m.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {machine_sql(40, -0.01, 0.005)} SELECT ticker, date, signal::INTEGER AS signal FROM m WHERE signal IS NOT NULL")
 def state_machine(spark: SparkSession, d: str) -> DataFrame:
     return trades.state_machine(fac.bbiboll(panels.weekly_bars(spark, d)), 40, -0.01, 0.005)
 
@@ -625,25 +642,181 @@ def bootstrap_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return validation.bootstrap_sharpe(_daily(spark, d))
 
 
-@query()
-def walk_forward(spark: SparkSession, d: str) -> DataFrame:
+def cleaned(source: str, out: str) -> str:
+    """A factor after clipping at 1 % and standardisation."""
+    clip = WINSOR.format(src=source).replace("0.05::DOUBLE", "0.01::DOUBLE").replace("0.95::DOUBLE", "0.99::DOUBLE").replace("wz AS", f"{out}w AS", 1)
+    return f"{clip}, {ZS.replace('zs AS', f'{out} AS', 1).replace('FROM sig', f'FROM {out}w')}"
+
+
+PARTED = f"""{BARS_W.replace("bars AS (", "raw AS (")}, dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM raw)), {folds_sql(130, 90, 5)},
+bars AS (SELECT struct_pack(part := fold * 2 + (split = 'oos')::INTEGER, day := raw.date) AS date, struct_pack(part := fold * 2 + (split = 'oos')::INTEGER, name := ticker) AS ticker, close FROM raw JOIN dd ON raw.date = dd.date JOIN p ON i >= a AND i < b),
+{RET}, {NXT}, {mom()}, {cleaned('sig', 'za')}, {sides('za')}, w0 AS (SELECT date, ticker, side / 10.0::DOUBLE AS weight FROM sd WHERE side <> 0),
+wi AS (SELECT date, date.part AS part, row_number() OVER (PARTITION BY date.part ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM w0)),
+w AS (SELECT x.date, ticker, weight FROM wi x JOIN wi y ON x.part = y.part AND y.i = x.i - x.i % 4 JOIN w0 ON w0.date = y.date), {PR},
+wf AS (SELECT fold, split, (SELECT count(*) FROM pr WHERE pr.date.part = fold * 2 + (split = 'oos')::INTEGER) AS n_days,
+  (SELECT avg(portfolio_return) FROM pr WHERE pr.date.part = fold * 2 + (split = 'oos')::INTEGER) AS m, (SELECT stddev_samp(portfolio_return) FROM pr WHERE pr.date.part = fold * 2 + (split = 'oos')::INTEGER) AS s FROM p),
+wr AS (SELECT fold, split, n_days, m / nullif(s, 0) * sqrt(252.0::DOUBLE) AS sharpe, m * 252 AS annual_return, s * sqrt(252.0::DOUBLE) AS annual_volatility FROM wf)"""
+
+
+def _walk_forward(spark: SparkSession, d: str) -> DataFrame:
     config = alpha.AlphaConfig(factors=["momentum"], n_long=5, n_short=5, rebalance_every=4)
     bars = panels.weekly_bars(spark, d)
     return alpha.walk_forward(bars, config, bars.select("date").distinct().count(), 130, 90, 5)
 
 
-@query()
+@query(wrap(PARTED, "SELECT * FROM wr", "fold, split, n_days", "sharpe", "annual_return", "annual_volatility"))
+def walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_walk_forward(spark, d), "sharpe", "annual_return", "annual_volatility")
+
+
+DECAY = ("is_sharpe_mean", "oos_sharpe_mean", "oos_sharpe_std", "sharpe_decay")
+
+
+@query(wrap(PARTED, "SELECT count(DISTINCT fold) AS n_folds, avg(sharpe) FILTER (split = 'is') AS is_sharpe_mean, avg(sharpe) FILTER (split = 'oos') AS oos_sharpe_mean, stddev_samp(sharpe) FILTER (split = 'oos') AS oos_sharpe_std, avg(sharpe) FILTER (split = 'is') - avg(sharpe) FILTER (split = 'oos') AS sharpe_decay FROM wr", "n_folds", *DECAY))
+def sharpe_decay(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(alpha.sharpe_decay(_walk_forward(spark, d)), *DECAY)
+
+
+@query(f"""WITH {BARS_W}, dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bars)), {folds_sql(52, 26, 2)}
+SELECT fold, min(date) FILTER (split = 'is') AS train_start, max(date) FILTER (split = 'is') AS train_end, min(date) FILTER (split = 'oos') AS test_start, max(date) FILTER (split = 'oos') AS test_end, count(*) FILTER (split = 'is') AS train_size, count(*) FILTER (split = 'oos') AS test_size FROM dd JOIN p ON i >= a AND i < b GROUP BY fold""")
+def fold_dates(spark: SparkSession, d: str) -> DataFrame:
+    dates = panels.weekly_bars(spark, d).select("date").distinct()
+    return validation.fold_dates(dates, validation.folds_frame(spark, validation.walk_forward_folds(dates.count(), 52, 26, 2)))
+
+
+IC_PAIR = f"""{BARS_W}, {RET}, {NXT}, fwd AS (SELECT date, ticker, next_day_return AS y FROM nxt), {mom().replace("sig AS", "mo AS", 1)}, {cleaned('mo', 'za')}, {VOL_RATIO}, {cleaned('vr', 'zb')}, ic1 AS ({ic_sql('za', 'y', 2)}), ic2 AS ({ic_sql('zb', 'y', 2)})"""
+ALPHA = f"""{IC_PAIR}, n1 AS (SELECT ic, row_number() OVER (ORDER BY date) AS i FROM ic1), n2 AS (SELECT ic, row_number() OVER (ORDER BY date) AS i FROM ic2),
+mm AS (SELECT greatest(avg(a.ic), 0.0) AS a, greatest(avg(b.ic), 0.0) AS b FROM n1 a JOIN n2 b USING (i)), ww AS (SELECT CASE WHEN a + b <= 1e-12 THEN 0.5::DOUBLE ELSE a / (a + b) END AS wa, CASE WHEN a + b <= 1e-12 THEN 0.5::DOUBLE ELSE b / (a + b) END AS wb FROM mm),
+sig AS (SELECT * FROM (SELECT za.date, za.ticker, za.value * wa + zb.value * wb AS value FROM za JOIN zb ON za.date = zb.date AND za.ticker = zb.ticker, ww) WHERE value IS NOT NULL), {SIGNAL_SIZED},
+wi AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM g WHERE abs(weight) > 1e-10)), w AS (SELECT x.date, ticker, weight FROM wi x JOIN wi y ON y.i = x.i - x.i % 5 JOIN g ON g.date = y.date WHERE abs(weight) > 1e-10), {TRACK_TAIL}"""
+TRACKED = ("gross_return", "turnover", "cost", "portfolio_return", "equity_curve")
+
+
+@query(wrap(ALPHA, "SELECT *, e AS equity_curve, turnover * 0.0005::DOUBLE AS cost FROM eq", "date, n_positions, n_long, n_short", *TRACKED))
 def alpha_pipeline(spark: SparkSession, d: str) -> DataFrame:
     config = alpha.AlphaConfig(n_long=5, n_short=5, combination="ic", sizing="Signal-Weighted", cost_bps=5.0)
-    return alpha.run_alpha(panels.weekly_bars(spark, d), config)[1]
+    return rounded(alpha.run_alpha(panels.weekly_bars(spark, d), config)[1], *TRACKED)
 
 
-@query()
+def _ics(spark: SparkSession, d: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    bars = panels.weekly_bars(spark, d)
+    ahead = returns.next_day_returns(returns.daily_returns(bars))
+    signals = [fac.compute_factor(name, bars) for name in ("momentum", "vol_ratio")]
+    return signals, [returns.ic_series(s, ahead, "next_day_return", least=2) for s in signals]
+
+
+@query(wrap(f"{IC_PAIR}, l AS (SELECT date, 'momentum' AS name, ic FROM ic1 UNION ALL SELECT date, 'vol_ratio', ic FROM ic2)", "SELECT a.name AS a, b.name AS b, covar_pop(a.ic, b.ic) / nullif(stddev_pop(a.ic) * stddev_pop(b.ic), 0) AS corr FROM l a JOIN l b ON a.date = b.date AND a.name <= b.name GROUP BY 1, 2", "a, b", "corr"))
+def ic_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(returns.ic_correlation(dict(zip(("momentum", "vol_ratio"), _ics(spark, d)[1], strict=True))), "corr")
+
+
+@query(wrap(f"{IC_PAIR}, rk AS (SELECT date, ticker, (rank() OVER (PARTITION BY date ORDER BY value) + (count(*) OVER (PARTITION BY date, value) - 1) / 2.0::DOUBLE - 1) / nullif((count(value) OVER (PARTITION BY date) - 1)::DOUBLE, 0) * 2 - 1 AS w FROM za), c AS (SELECT date, abs(w - lag(w) OVER (PARTITION BY ticker ORDER BY date)) AS c FROM rk), tv AS (SELECT avg(t) AS mean_turnover FROM (SELECT avg(c) AS t FROM c GROUP BY date)), st AS (SELECT {STATS} FROM ic1)",
+            "SELECT *, CASE WHEN abs(t_stat) > 2 AND abs(ir) > 0.5 THEN 'strong' WHEN abs(t_stat) > 2 AND abs(ir) > 0.3 THEN 'usable' WHEN abs(t_stat) > 2 THEN 'significant' ELSE 'weak' END AS verdict FROM st, tv", "n, verdict", *STAT_COLUMNS, "mean_turnover"))
+def factor_summary(spark: SparkSession, d: str) -> DataFrame:
+    signals, series = _ics(spark, d)
+    return rounded(returns.factor_summary(returns.ic_stats(series[0]), returns.rank_turnover(signals[0])), *STAT_COLUMNS, "mean_turnover")
+
+
+def strategy_sql(dev: int, stop: float, take: float) -> str:
+    return f"{machine_sql(dev, stop, take)}, alt AS (SELECT ticker, date, signal FROM m WHERE signal IS NOT NULL), {TRADES_TAIL}, {HELD}"
+
+
+@query(wrap(strategy_sql(40, -0.01, 0.005), "SELECT * FROM hd", "date, n_positions", "portfolio_return").replace("WITH", "WITH RECURSIVE", 1))
 def strategy_backtest(spark: SparkSession, d: str) -> DataFrame:
     bars = panels.weekly_bars(spark, d)
-    return trades.BbiBollStrategy(40, -0.01, 0.005).run(bars)[0]
+    return rounded(trades.BbiBollStrategy(40, -0.01, 0.005).run(bars)[0], "portfolio_return")
+
+
+RULES = {"narrow": (40, -0.01, 0.005), "wide": (80, -0.02, 0.01)}
+BENCHED = (*PERFORMANCE, "benchmark_return", "excess_return")
+
+
+def compared_sql(name: str) -> str:
+    tables = f"{strategy_sql(*RULES[name])}, eq AS (SELECT *, product(1 + portfolio_return) OVER (ORDER BY date) AS e FROM hd), {performance_sql()}, bm AS (SELECT date, avg(close) AS c FROM bars GROUP BY date), br AS (SELECT arg_max(c, date) / arg_min(c, date) - 1 AS benchmark_return FROM bm), pb AS ({PERFORMED})"
+    body = wrap(tables, f"SELECT '{name}' AS name, *, total_return - benchmark_return AS excess_return FROM pb, br", 'name, start, "end", n, max_drawdown_days', *BENCHED)
+    return f"SELECT * FROM ({body.replace('WITH', 'WITH RECURSIVE', 1)})"
+
+
+@query(" UNION ALL ".join(compared_sql(name) for name in RULES))
+def strategy_comparison(spark: SparkSession, d: str) -> DataFrame:
+    bars = panels.weekly_bars(spark, d)
+    benchmark = portfolio.relative_to_first(bars.groupBy("date").agg(F.avg("close").alias("close")))
+    return rounded(alpha.run_strategies(bars, {name: trades.BbiBollStrategy(*rules) for name, rules in RULES.items()}, benchmark)[1], *BENCHED)
+
+
+@query(f"WITH {BARS_W}, {BBI} SELECT date, ticker, CASE WHEN dev IS NOT NULL THEN row_number() OVER (PARTITION BY ticker ORDER BY dev NULLS LAST, date) END::INTEGER AS longterm_dev_pct_rank FROM dv")
+def longterm_rank(spark: SparkSession, d: str) -> DataFrame:
+    return fac.bbiboll(panels.weekly_bars(spark, d)).select("date", "ticker", "longterm_dev_pct_rank")
+
+
+ISLANDS = """lm AS (SELECT ticker, date, volume <= 300 AS low, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM bars), lr AS (SELECT *, i - row_number() OVER (PARTITION BY ticker ORDER BY date) AS run FROM lm WHERE low),
+ls AS (SELECT ticker, min(date) AS a, max(date) AS b, count(*) AS n FROM lr GROUP BY ticker, run)"""
+
+
+@query(f"WITH {BARS_W}, {ISLANDS}, x AS (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY n DESC, b DESC) = 1), tv AS (SELECT ticker, trunc(avg(close * volume))::BIGINT AS avg_turnover FROM bars WHERE volume > 300 GROUP BY 1) SELECT x.ticker, n AS max_duration_days, a AS max_duration_start_date, b AS max_duration_end_date, avg_turnover FROM x LEFT JOIN tv ON x.ticker = tv.ticker")
+def low_volume_summary(spark: SparkSession, d: str) -> DataFrame:
+    bars = panels.weekly_bars(spark, d)
+    return dataprep.low_volume_summary(dataprep.low_volume_periods(bars, 300), bars, 300)
+
+
+@query(f"WITH {BARS_M}, {ISLANDS.replace('300', '100')} SELECT ticker, date, close, volume FROM bars WHERE ticker NOT IN (SELECT ticker FROM ls WHERE n > 2) AND ticker NOT IN (SELECT ticker FROM bars GROUP BY 1 HAVING avg(close * volume) < 190000)")
+def exclude_low_volume(spark: SparkSession, d: str) -> DataFrame:
+    bars = panels.monthly_bars(spark, d)
+    return dataprep.exclude_low_volume(bars, dataprep.low_volume_periods(bars, 100), 2, 190_000.0).select("ticker", "date", "close", "volume")
+
+
+@query(f"""WITH {BARS_M}, tk AS (SELECT DISTINCT ticker, ticker::BIGINT // 3 AS g, ticker::BIGINT % 3 AS k FROM bars), cu AS (SELECT *, CASE WHEN k < 2 THEN make_date(1994 + 2 * k, 6, 30) END AS last_date FROM tk),
+cx AS (SELECT *, last_value(ticker) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS latest, max(last_date) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM cu)
+SELECT latest AS ticker, date, close FROM bars JOIN cx ON bars.ticker = cx.ticker WHERE (after IS NULL OR date > after) AND (last_date IS NULL OR date <= last_date)""")
+def align_tickers(spark: SparkSession, d: str) -> DataFrame:
+    bars = panels.monthly_bars(spark, d).select("ticker", "date", "close")
+    key = F.col("ticker").cast("bigint")
+    names = bars.select("ticker").distinct().withColumns({"g": F.floor(key / 3), "k": (key % 3).cast("int")})
+    groups = names.groupBy(F.col("g").cast("string").alias("group_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ticker"))), lambda x: x["ticker"]).alias("tickers"))
+    ends = names.select("ticker", F.when(F.col("k") < 2, F.make_date(F.lit(1994) + F.col("k") * 2, F.lit(6), F.lit(30))).alias("last_date"))
+    return dataprep.align_tickers(bars, groups.withColumn("latest_ticker", F.element_at("tickers", -1)), ends)
+
+
+@query("SELECT s_suppkey::VARCHAR AS ticker, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_suppkey % 10 <> 3 UNION ALL SELECT 'new' || n_nationkey, NULL, n_nationkey FROM nation")
+def correct_overview(spark: SparkSession, d: str) -> DataFrame:
+    s = panels.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    added = panels.table(spark, d, "nation").select(F.concat(F.lit("new"), F.col("n_nationkey")).alias("ticker"), F.col("n_nationkey").alias("nation"))
+    return files.correct_overview(s, s.where("cast(ticker as bigint) % 10 = 3"), added)
+
+
+POSITIONS = """ps AS (SELECT s_suppkey::VARCHAR AS ticker, DATE '1995-01-01' + (s_suppkey % 700)::INTEGER AS buy_date, make_date((1997 + s_suppkey % 2)::BIGINT, 1, 1) AS backtest_date, CASE WHEN s_suppkey % 3 = 0 THEN make_date((1994 + s_suppkey % 8)::BIGINT, 3, 5) END AS gone FROM supplier),
+pt AS (SELECT ticker, backtest_date, CASE WHEN gone <= backtest_date THEN 'Delisted' ELSE 'Active' END AS status, CASE WHEN gone <= backtest_date THEN gone ELSE backtest_date END - buy_date AS hold_days FROM ps)"""
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    gone = F.concat((1994 + k % 8).cast("string"), F.lit("-03-05T00:00:00Z"))
+    return panels.table(spark, d, "supplier").select(
+        k.cast("string").alias("ticker"), F.date_add(F.lit("1995-01-01").cast("date"), (k % 700).cast("int")).alias("buy_date"),
+        F.make_date((1997 + k % 2).cast("int"), F.lit(1), F.lit(1)).alias("backtest_date"), F.when(k % 3 == 0, F.array(gone, F.lit(""))).otherwise(F.array().cast("array<string>")).alias("delisted"),
+    )
+
+
+@query(f"WITH {POSITIONS} SELECT ticker, status, hold_days::INTEGER AS hold_days FROM pt")
+def position_status(spark: SparkSession, d: str) -> DataFrame:
+    return trades.position_status(_positions(spark, d)).select("ticker", "status", "hold_days")
+
+
+@query(wrap(POSITIONS, "SELECT backtest_date, count(*) AS n_positions, count(*) FILTER (status = 'Active') AS n_active, count(*) FILTER (status = 'Delisted') AS n_delisted, avg(hold_days) AS avg_hold_days FROM pt GROUP BY 1", "backtest_date, n_positions, n_active, n_delisted", "avg_hold_days"))
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(trades.status_counts(_positions(spark, d)), "avg_hold_days")
+
+
+@query("SELECT o_custkey AS custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 12")
+def intersect_rows(spark: SparkSession, d: str) -> DataFrame:
+    customers = panels.table(spark, d, "customer").where("c_nationkey < 12")
+    return joins.intersect_rows(panels.table(spark, d, "orders").select(F.col("o_custkey").alias("custkey")), customers.select(F.col("c_custkey").alias("custkey")))
 
 
+@query("SELECT o_custkey AS custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 12")
+def except_rows(spark: SparkSession, d: str) -> DataFrame:
+    orders = panels.table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"))
+    return joins.except_rows(orders, panels.table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("custkey")))
 
 
 @query(wrap(f"{SIGNAL_W}, {PR}, {DATES}, {TURN}, c AS (SELECT pr.date, portfolio_return AS gross_return, CASE WHEN i = 1 THEN 0.0::DOUBLE ELSE turnover END AS t FROM pr JOIN turn ON pr.date = turn.date), "
