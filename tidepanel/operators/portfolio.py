@@ -37,16 +37,16 @@ def portfolio_return(weights: DataFrame, returns: DataFrame, ret: str = "next_da
 def turnover(weights: DataFrame, first_zero: bool = False, part: str | None = None) -> DataFrame:
     """Half the sum of absolute weight changes per date, without the first date of each part (or with 0 there).
 
-    Each weight counts for its date and, negated, for the next; one
-    aggregation replaces the comparison of days.
+    Each weight counts for its date and, negated, for the next, together with
+    that date's number; one aggregation replaces the comparison of days.
     """
     dates = weights.select("date").distinct().select("date", F.lead("date").over(by_date(part)).alias("next"), F.row_number().over(by_date(part)).alias("i"))
-    now = F.struct(F.col("date").alias("d"), F.col("weight").alias("w"))
-    then = F.struct(F.col("next").alias("d"), (-F.col("weight")).alias("w"))
+    now = F.struct(F.col("date").alias("d"), F.col("weight").alias("w"), F.col("i"))
+    then = F.struct(F.col("next").alias("d"), (-F.col("weight")).alias("w"), (F.col("i") + 1).alias("i"))
     moves = weights.join(dates, "date").select("ticker", F.explode(F.array(now, then)).alias("m"))
-    moves = moves.where("m.d is not null").select(F.col("m.d").alias("date"), "ticker", F.col("m.w").alias("weight"))
-    changed = moves.groupBy("date", "ticker").agg(F.sum("weight").alias("d")).groupBy("date").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
-    out = changed.join(dates.select("date", "i"), "date")
+    moves = moves.where("m.d is not null").select(F.col("m.d").alias("date"), "ticker", F.col("m.w").alias("weight"), F.col("m.i").alias("i"))
+    changed = moves.groupBy("date", "ticker").agg(F.sum("weight").alias("d"), F.max("i").alias("i"))
+    out = changed.groupBy("date").agg((F.sum(F.abs("d")) / 2).alias("turnover"), F.max("i").alias("i"))
     if first_zero:
         return out.select("date", F.when(F.col("i") == 1, 0.0).otherwise(F.col("turnover")).alias("turnover"))
     return out.where("i > 1").select("date", "turnover")
@@ -84,7 +84,7 @@ def performance(daily: DataFrame, periods: int = 252, ddof: int = 0, benchmark:
     """
     curve = daily.withColumn("e", equity()).withColumn("peak", F.max("e").over(so_far()))
     curve = curve.withColumns({"dd": F.col("e") / F.col("peak") - 1, "run": F.sum((F.col("e") >= F.col("peak")).cast("int")).over(so_far())})
-    longest = curve.where("dd < 0").groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_drawdown_days"))
+    curve = curve.withColumn("length", F.count(F.when(F.col("dd") < 0, 1)).over(Window.partitionBy("run")))
     r = F.col("portfolio_return")
     std = (F.stddev_pop if ddof == 0 else F.stddev_samp)(r)
     down = F.stddev_pop(F.when(r < 0, r)) if ddof == 0 else F.stddev_samp(F.when(r < 0, r))
@@ -94,8 +94,9 @@ def performance(daily: DataFrame, periods: int = 252, ddof: int = 0, benchmark:
         (F.max_by("e", "date") - 1).alias("total_return"), (F.avg(r) * year).alias("annual_return"), (std * F.sqrt(year)).alias("annual_volatility"),
         (ratio(F.avg(r), std) * F.sqrt(year)).alias("sharpe"), (ratio(F.avg(r), down) * F.sqrt(year)).alias("sortino"),
         (-F.min("dd")).alias("max_drawdown"), ratio(F.sum(F.greatest(r, F.lit(0.0))), F.sum(F.greatest(-r, F.lit(0.0)))).alias("omega"),
+        F.coalesce(F.max("length"), F.lit(0)).alias("max_drawdown_days"),
     )
-    row = row.withColumn("calmar", ratio(F.col("annual_return"), F.col("max_drawdown"))).crossJoin(longest)
+    row = row.withColumn("calmar", ratio(F.col("annual_return"), F.col("max_drawdown")))
     if benchmark is None:
         return row
     own = daily.select("date").join(benchmark, "date").agg((ratio(F.max_by("value", "date"), F.min_by("value", "date")) - 1).alias("benchmark_return"))
