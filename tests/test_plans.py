@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from tidepanel.operators import trades, validation
+from tidepanel.operators import risk, trades, validation
 from tidepanel.plans import alpha
 from tidepanel.sources import exports, panels
 
@@ -49,3 +49,12 @@ def test_strategies_and_exports(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "a_open_positions"), header=True).count() == opened.count()
     assert [r.value for r in spark.read.text(str(tmp_path / "a_config")).collect()][-1] == "max_dev_pct: 40"
     assert any(r.value.startswith("sharpe: ") for r in spark.read.text(str(tmp_path / "a_metrics")).collect())
+
+
+def test_qq_data(spark):
+    from statistics import NormalDist, mean, stdev
+
+    values = [0.03, -0.01, 0.02, -0.04, 0.0]
+    got = sorted(tuple(r) for r in risk.qq_data(spark.createDataFrame([(v,) for v in values], "r double")).collect())
+    want = [(NormalDist().inv_cdf((i + 0.5) / 5), (v - mean(values)) / stdev(values)) for i, v in enumerate(sorted(values))]
+    assert [x for r in got for x in r] == pytest.approx([x for r in want for x in r])
