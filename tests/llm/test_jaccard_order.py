@@ -85,3 +85,48 @@ def test_repeated_rows_and_clashing_columns_are_carried_on(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, rk int, g int")
     got = sorted((tuple(r) for r in jaccard.drop_near_duplicates(df).collect()), key=str)
     assert got == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_a_pair_is_given_out_once_and_sorted_out_by_parities(spark, monkeypatch):
+    """Long documents that have much in common without being linked; before, each pair came at every token and whole sets were fetched for it."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(1500)]
+        for copy in range(8):
+            own = list(words)
+            for k in range(int(rng.integers(2, 9)) * 4):
+                own[int(rng.integers(len(own)))] = f"x{base}c{copy}k{k}"
+            texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute(texts)
+    assert 6 < len(set(want)) < len(texts)
+    rows, kept = {}, jaccard.stored
+
+    def stored(of, name):
+        out = kept(of, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    monkeypatch.setattr(jaccard, "CARRIED", 40)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    first, distinct = rows["jaccard-met"]
+    assert distinct < first / 2
+    assert sum(rows["jaccard-near"]) < sum(rows["jaccard-pairs"]) / 2
+
+
+def test_parities_lose_no_link():
+    rng = np.random.default_rng(9)
+    kept = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 400)) if rng.random() < 0.9 else int(rng.integers(2000, 50_000))
+        gone = int(rng.random() * 0.25 * n)
+        tokens = np.unique(rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64))
+        a = np.sort(rng.permutation(tokens)[:n])
+        b = np.sort(np.concatenate([rng.permutation(a)[: n - gone], rng.integers(0, 1 << 64, int(rng.random() * gone), dtype=np.uint64)]))
+        may = jaccard.may_link(jaccard.parities(a), jaccard.parities(b), len(a), len(b))
+        assert may or not jaccard.similar(a, b)
+        kept += may and not jaccard.similar(a, b)
+    assert kept < 300

@@ -6,8 +6,11 @@ fewer than l such tokens in common with all others together is linked with
 none; of those that are left, only documents that share a token for l = 1 can
 be linked.  Within these groups signature trees hold OR-combined token bitmaps and
 size ranges, and a dual traversal drops pairs of nodes by their greatest
-possible overlap.  Equal sets are one class throughout, and pairs already
-connected are skipped.
+possible overlap.  Of tokens that the same documents share one is kept, and a
+pair is given out at the least token of those where it meets.  What is left is
+sorted out by maps of parities, whose differing bits bound the difference of
+two sets from below, before whole sets are compared.  Equal sets are one class
+throughout, and pairs already connected are skipped.
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ from tidepanel.llm.components import components
 
 N = 5
 BITS, FAN = 2048, 8
+#: No token.
+LAST = (1 << 63) - 1
 #: Members of one group that are compared in one task; a larger group is split.
 BLOCK = 1024
 #: Rounds in which components are joined by one pair each, before all pairs that are left are compared.
 CONTRACTIONS = 3
+#: Tokens of a class that go with it to each of them; a class of more is given out with another at every token where they meet.
+CARRIED = 512
 #: Ids that are broadcast (8 MB) to fetch their texts; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -73,6 +80,22 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of about 4 n places (a power of two from 64 to 2**17) whether an odd number of tokens has it."""
+    places = 1 << min(17, max(6, (4 * len(tokens) - 1).bit_length()))
+    return np.packbits(np.bincount((tokens % np.uint64(places)).astype(np.int64), minlength=places) & 1).view(np.uint64)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
+    """Whether sets of these parities, of n and m tokens, can be similar: each bit that differs is a token that only one has.
+
+    The longer map is folded to the places of the shorter one.
+    """
+    places = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, places), axis=0) for x in (a, b))
+    return 9 * int(np.bitwise_count(a ^ b).sum()) <= n + m
+
+
 class SignatureTree:
     """Levels of nodes over members sorted by size; a node has a bitmap, a size range and what its bitmap may hide.
 
@@ -201,13 +224,19 @@ def _shared(tokens: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lambda x: shared_rows(x, "h", "cid"), "h bigint, cid bigint, nr bigint")
 
 
-def _meetings(met: DataFrame, sets: DataFrame, label: DataFrame, block: int, step: int) -> DataFrame:
+def _distinct_groups(met: DataFrame) -> DataFrame:
+    """Of tokens that the same classes share, the rows of one: what meets at any meets there."""
+    groups = met.groupBy("h").agg(*(F.bit_xor(F.xxhash64(F.lit(k), "cid")).alias(f"x{k}") for k in (1, 2)), F.count(F.lit(1)).alias("m"))
+    return met.join(groups.groupBy("x1", "x2", "m").agg(F.min("h").alias("h")).select("h"), "h")
+
+
+def _meetings(met: DataFrame, signs: DataFrame, label: DataFrame, block: int, step: int) -> DataFrame:
     """(a, b): pairs of different components that the trees leave at a shared token; in a ``step`` one pair of two components at most, at a quarter of the tokens."""
     if step:
-        met = met.where(F.pmod(F.xxhash64("h", F.lit(step)), F.lit(4)) == 0)
+        met = met.where(F.shiftright("h", 2 * step).bitwiseAND(F.lit(3)) == 0)
     named = met.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("h", "cid", F.coalesce("component", "cid").alias("g"))
     mixed = named.groupBy("h").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("h", "m")
-    rest = named.join(mixed, "h").join(sets.select("cid", "n", "bits"), "cid")
+    rest = named.join(mixed, "h").join(signs, "cid")
     # a large group is cut into runs of like size; runs meet in pairs if their sizes allow it
     place = F.row_number().over(Window.partitionBy("h").orderBy("n", "cid"))
     small = rest.where(F.col("m") <= block).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
@@ -224,7 +253,21 @@ def _meetings(met: DataFrame, sets: DataFrame, label: DataFrame, block: int, ste
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(step)
         for part, borders in group_runs(batches, ["h", "i", "j"]):
-            cid, n, g, side = (part.column(c).to_numpy() for c in ("cid", "n", "g", "side"))
+            h, cid, n, g, side = (part.column(c).to_numpy() for c in ("h", "cid", "n", "g", "side"))
+            at = part.column("ks").combine_chunks()
+            begins, ks = at.offsets.to_numpy(), at.values.to_numpy()
+            ks = np.where((ks >> (2 * step)) & 3 == 0, ks, LAST) if step else ks
+            held: dict[int, frozenset[int]] = {}
+
+            def tokens_of(row: int) -> frozenset[int]:
+                if (c := int(cid[row])) not in held:
+                    held[c] = frozenset(ks[begins[row] : begins[row + 1]].tolist()) - {LAST}
+                return held[c]
+
+            def first_at(x: int, y: int) -> bool:
+                both = tokens_of(x) & tokens_of(y)
+                return not both or min(both) == h[x]
+
             bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype=np.uint64).reshape(len(cid), -1)
             ends: list[tuple[np.ndarray, np.ndarray]] = []
             for low, high in zip(borders, borders[1:], strict=False):
@@ -238,6 +281,9 @@ def _meetings(met: DataFrame, sets: DataFrame, label: DataFrame, block: int, ste
                     left = SignatureTree(n[low:middle], bits[low:middle], codes[: middle - low])
                     i, j = tree_pairs(left, SignatureTree(n[middle:high], bits[middle:high], codes[middle - low :]))
                     i, j = low + i, middle + j
+                if len(i) and (not step or len(i) <= 4096):  # of more pairs a step takes one of two components anyway
+                    first = [first_at(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                    i, j = i[first], j[first]
                 if step and len(i) > 1:
                     mixed = rng.permutation(len(i))
                     i, j = i[mixed], j[mixed]
@@ -252,7 +298,7 @@ def _meetings(met: DataFrame, sets: DataFrame, label: DataFrame, block: int, ste
             columns = (cid[i[once]], cid[j[once]], np.minimum(g[i[once]], g[j[once]]), np.maximum(g[i[once]], g[j[once]]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "ga", "gb"])
 
-    ordered = both.select("h", "i", "j", "side", "n", "cid", "g", "bits").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "n", "cid")
+    ordered = both.select("h", "i", "j", "side", "n", "cid", "g", "bits", "ks").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "n", "cid")
     pairs = ordered.mapInArrow(meet, "a bigint, b bigint, ga bigint, gb bigint")
     if not step:
         return pairs.select("a", "b").distinct()
@@ -317,8 +363,9 @@ def jaccard_components(
         forget(old)
         before, now = now, rest.count()
         release(docs.sparkSession)
-    met = stored(_shared(rest.where(F.col("nr").bitwiseAND(F.lit(1)) == 1)).select("h", "cid"), "jaccard-met")
-    forget(rest)
+    every = stored(_shared(rest.where(F.col("nr").bitwiseAND(F.lit(1)) == 1)).select("h", "cid"), "jaccard-met")
+    met = stored(_distinct_groups(every), "jaccard-met")
+    forget(rest, every)
     release(docs.sparkSession)
     # the sets of the classes that met another, from one document each
     named = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
@@ -329,7 +376,7 @@ def jaccard_components(
 
     def held(d, t, k):
         s = shingles(t)
-        return [(class_of(s), len(s), s.tobytes(), bitmap(s).tobytes())] if len(s) else []
+        return [(class_of(s), len(s), s.tobytes(), bitmap(s).tobytes(), parities(s).tobytes())] if len(s) else []
 
     # first contraction: each class with others that share its first shared token
     first = met.groupBy("cid").agg(F.min("h").alias("h"))
@@ -339,7 +386,7 @@ def jaccard_components(
     plan = stored(sized.select("cid", "h", "part", "m", (F.col("cid") == F.col("hub")).alias("is_hub")), "jaccard-plan")
     few = n_wanted <= broadcast
     only = plan.select("cid")
-    sets = _mapped(texts, "cid bigint, n bigint, s binary, bits binary", held)
+    sets = _mapped(texts, "cid bigint, n bigint, s binary, bits binary, odd binary", held)
     sets = every = stored(sets.join(F.broadcast(only) if few else only, "cid", "left_semi"), "jaccard-sets")
     if not sets.groupBy("cid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
         sets = stored(sets.dropDuplicates(["cid"]), "jaccard-sets")  # of repeated rows
@@ -370,18 +417,35 @@ def jaccard_components(
             keep = [similar(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = (map(lambda x: np.frombuffer(x.as_py(), dtype=np.uint64), batch.column(c)) for c in ("oa", "ob"))
+            keep = [may_link(*x) for x in zip(*odd, batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    asked_for: list[DataFrame] = []
+
+    def of_pairs(pairs: DataFrame, *columns: str) -> DataFrame:
+        """``pairs`` with these columns of both sets."""
+        asked = stored(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "jaccard-asked")
+        own = sets.select("cid", *columns).join(F.broadcast(asked) if asked.count() <= broadcast else asked, "cid", "left_semi")
+        asked_for.append(asked)
+        return pairs.join(own.toDF("a", *(f"{c[0]}a" for c in columns)), "a").join(own.toDF("b", *(f"{c[0]}b" for c in columns)), "b")
+
+    tokens_at = met.groupBy("cid").agg(F.collect_list("h").alias("ks"))
+    few_at = F.when(F.size("ks") <= CARRIED, F.col("ks")).otherwise(F.array().cast("array<bigint>"))
+    signs = stored(sets.select("cid", "n", "bits").join(tokens_at, "cid").withColumn("ks", few_at), "jaccard-signs")
     # what is left: tokens at which different components meet; at first one pair of each two components at a part of the
     # tokens, while that connects any, then all pairs of what is still apart
     step = 0
     while True:
         step += 1
-        pairs = stored(_meetings(met, sets, label, block, step if step <= CONTRACTIONS else 0), "jaccard-pairs")
+        pairs = stored(_meetings(met, signs, label, block, step if step <= CONTRACTIONS else 0), "jaccard-pairs")
         release(docs.sparkSession)
-        asked = stored(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "jaccard-asked")
-        own = sets.select("cid", "s").join(F.broadcast(asked) if asked.count() <= broadcast else asked, "cid", "left_semi")
-        both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
-        late = stored(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint"), "jaccard-late")
-        forget(pairs, asked)
+        asked_for.clear()
+        near = stored(of_pairs(pairs, "n", "odd").mapInArrow(sort_out, "a bigint, b bigint"), "jaccard-near")
+        late = stored(of_pairs(near, "s").select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint"), "jaccard-late")
+        forget(pairs, near, *asked_for)
         release(docs.sparkSession)
         found = not late.isEmpty()
         if found:
@@ -390,7 +454,7 @@ def jaccard_components(
             break
         if not found:
             step = CONTRACTIONS
-    forget(met, sets, *([every] if every is not sets else []), plan, wanted)
+    forget(met, signs, sets, *([every] if every is not sets else []), plan, wanted)
     joined = label.toDF("cid", "part")
     classed = rows.join(joined, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     lowest = classed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
